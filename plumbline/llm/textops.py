@@ -18,6 +18,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _tables: tuple[np.ndarray, np.ndarray] | None = None
+_cased: tuple[np.ndarray, np.ndarray] | None = None
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -79,17 +80,17 @@ def codepoints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32), base
 
 
-def words(texts: list[str]) -> Words:
-    """The words of all texts, in order."""
-    kinds, hashes = _lookup()
+def _runs(texts: list[str], kinds: np.ndarray, hashes: np.ndarray) -> Words:
+    """Maximal runs of characters of one kind other than 0; each character of kind 2 is a run by itself."""
     cp, base = codepoints(texts)
     n = len(cp)
     short = np.minimum(cp, np.uint32(0xFFFF))
     kind = kinds[short]
-    inside, alone = kind == 1, kind == 2
-    begins, ends = inside | alone, inside | alone
-    begins[1:] &= ~(inside[1:] & inside[:-1])
-    ends[:-1] &= ~(inside[:-1] & inside[1:])
+    begins = kind != 0
+    ends = begins.copy()
+    joined = (kind[1:] == kind[:-1]) & (kind[1:] != 2)
+    begins[1:] &= ~joined
+    ends[:-1] &= ~joined
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     value = hashes[short]
     far = cp > 0xFFFE
@@ -104,6 +105,23 @@ def words(texts: list[str]) -> Words:
     return Words(found, start - base[owner], end - base[owner], first)
 
 
+def words(texts: list[str]) -> Words:
+    """The words of all texts, in order."""
+    return _runs(texts, *_lookup())
+
+
+def tokens(texts: list[str]) -> Words:
+    """Words with their case, and runs of other visible characters."""
+    global _cased
+    if _cased is None:
+        kind = _lookup()[0].copy()
+        for i in np.flatnonzero(kind == 0).tolist():
+            if not chr(i).isspace() and unicodedata.category(chr(i)) not in ("Cc", "Cf"):
+                kind[i] = 3
+        _cased = kind, mix(np.arange(0x10000, dtype=np.uint64) + np.uint64(1))
+    return _runs(texts, *_cased)
+
+
 def blocks(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most limit characters; a longer text is a range by itself."""
     begin, chars = 0, 0
