@@ -16,7 +16,7 @@ def string_cid(c: Column) -> Column:
 def uint_cid(c: Column) -> Column:
     """Canonical bytes of unsigned ids in BIGINT or DECIMAL(20, 0)."""
     wide = c.cast("decimal(20,0)")
-    top = F.lit(1 << 63).cast("decimal(20,0)")
+    top = F.lit(str(1 << 63)).cast("decimal(20,0)")
     # HEX takes signed longs, so the upper half is moved below zero
     signed = F.when(wide >= top, (wide - top - top).cast("long")).otherwise(wide.cast("long"))
     return F.concat(F.unhex(F.lit("7500")), F.unhex(F.lpad(F.hex(signed), 16, "0")))

@@ -61,7 +61,7 @@ def check(f: Filter) -> None:
                 canonical_id(i)
         elif c.kind == "nested":
             check(c.value)
-        else:
+        elif c.kind != "exists":
             raise Invalid(f"no condition is called {c.kind!r}")
 
 

@@ -183,3 +183,36 @@ def search(points: DataFrame, passes: Column | None, centroids: np.ndarray, tota
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
     found = whole.select("cid", "vector", "centroid", "n").mapInArrow(run, "qid long, cid binary, score double")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "cid", "score"), stats
+
+
+def search_join(points: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, probes: int, block: int = 4096) -> DataFrame:
+    """(qid, rank, cid, score) of an approximate search for a table of queries (qid: long, vector), of any size.
+
+    points has (cid, vector, centroid).  Each query goes to its ``probes``
+    closest lists; a list's queries are cut into blocks by a hash, so a list
+    that many queries visit is on many tasks.
+    """
+    from .search import _blocked, _ranked
+
+    spark = points.sparkSession
+    shared = spark.sparkContext.broadcast(centroids.astype(np.float64))  # at most MOST rows
+    count = min(probes, len(centroids))
+    if not count:
+        return spark.createDataFrame([], "qid long, rank int, cid binary, score double")
+
+    @F.pandas_udf("array<int>")
+    def lists(vector: pd.Series) -> pd.Series:
+        x = np.array(vector.tolist(), np.float64).reshape(len(vector), -1)
+        score = cosines(x, shared.value)
+        # stable, so ties go to the lowest number
+        return pd.Series(np.argsort(-score, axis=1, kind="stable")[:, :count].astype(np.int32).tolist())
+
+    blocks = max(1, -(-queries.count() * count // (len(centroids) * block)))
+    right = queries.select("qid", "vector", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("b"), F.explode(lists("vector")).alias("centroid"))
+    left = points.select("cid", "vector", "centroid", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_blocked(a, b, k)])
+
+    found = left.groupBy("centroid", "b").cogroup(right.groupBy("centroid", "b")).applyInArrow(best, "qid long, cid binary, score double")
+    return _ranked(found, k)

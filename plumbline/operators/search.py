@@ -76,3 +76,45 @@ def top_k(points: DataFrame, qids: list[int], vectors: list[list[float]], k: int
     for p in parts[1:]:
         every = every.union(p)
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "cid", "score")
+
+
+def _blocked(left: pa.Table, right: pa.Table, k: int) -> pa.RecordBatch:
+    """Best k points (cid, vector) of left for each query (qid, vector) of right."""
+    names = ["qid", "cid", "score"]
+    if not left.num_rows or not right.num_rows or k <= 0:
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.float64())], names=names)
+    cids = np.array(left.column("cid").to_pylist(), object)
+    dimension = len(left.column("vector")[0])
+    x, y = (matrix(t.column("vector").combine_chunks(), dimension) for t in (left, right))
+    qids, out = right.column("qid").to_numpy(), []
+    for a in range(0, len(y), 256):
+        scores = cosines(x, y[a : a + 256])
+        for q in range(scores.shape[1]):
+            best = _best(scores[:, q], cids, k)
+            out.append((np.full(len(best), qids[a + q]), cids[best], scores[best, q]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out]).tolist(), pa.binary()), pa.array(np.concatenate([o[2] for o in out]))], names=names)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "cid", "score")
+
+
+def top_k_join(points: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(qid, rank, cid, score) for a table of queries (qid: long, vector), of any size.
+
+    Both sides are cut into blocks by a hash, and each pair of blocks is one
+    group, so that no task and no driver holds more than two blocks.  Equal to
+    top_k, which suits queries few enough for the driver.
+    """
+    i, j = max(1, -(-points.count() // block)), max(1, -(-queries.count() // block))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = points.select(own("cid", i).alias("i"), each(j).alias("j"), "cid", "vector")
+    right = queries.select(each(i).alias("i"), own("qid", j).alias("j"), "qid", "vector")
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_blocked(a, b, k)])
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, "qid long, cid binary, score double")
+    return _ranked(found, k)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,3 +26,17 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(here.parent))
     context.addPyFile(str(to))
     context._plumbline_shipped = True
+
+
+_fallback: str | None = None
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the cluster's shared folder; in a local one of our own only where none is set."""
+    global _fallback
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if _fallback is None:
+            _fallback = tempfile.mkdtemp(prefix="plumbline-shared-")
+        named = f"file://{_fallback}"
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"

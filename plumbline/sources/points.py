@@ -6,8 +6,10 @@ payload (canonical JSON text).  Stored tables add digest, shard and centroid.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType, StringType, StructField, StructType
@@ -38,10 +40,6 @@ def from_table(table: DataFrame, id: str, vector: str, payload: Column | None =
 
 def canonical_text(c: Column) -> Column:
     """Canonical JSON text of a column of JSON texts; null where one isn't an object."""
-    import json
-
-    import pandas as pd
-
     @F.pandas_udf(StringType())
     def canon(texts: pd.Series) -> pd.Series:
         def one(t):
@@ -78,5 +76,5 @@ def query_points(points: DataFrame) -> DataFrame:
     is_text = F.hex(F.substring("cid", 1, 1)) == "73"
     # two halves, since a signed long can't hold an unsigned one
     half = lambda a: F.conv(F.substring(F.hex("cid"), a, 8), 16, 10).cast("decimal(20,0)")
-    number = (half(5) * F.lit(1 << 32).cast("decimal(20,0)") + half(13)).cast("decimal(20,0)")
+    number = (half(5) * F.lit(str(1 << 32)).cast("decimal(20,0)") + half(13)).cast("decimal(20,0)")
     return points.select(F.when(is_text, "s").otherwise("u").alias("id_kind"), F.when(is_text, F.decode(text, "UTF-8")).alias("id_str"), F.when(~is_text, number).alias("id_uint"), *points.columns)
