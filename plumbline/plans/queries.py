@@ -249,17 +249,22 @@ def ivf_topk_all_probes(spark, sf):
 
 
 @_register()
-def ivf_topk_probes_4(spark, sf):
+def ivf_topk_default_probes(spark, sf):
     s = _snapshot(spark, sf)
-    return _hits(ivf.search_join(s.points(), _queries(spark, sf), s.centroids(), K, 4))
+    return _hits(ivf.search_join(s.points(), _queries(spark, sf), s.centroids(), K, s.config.index.default_probes))
+
+
+def recall(s: Snapshot, asked: DataFrame, probes: int) -> DataFrame:
+    """(wanted, found, recall): how many of the exact best K of all queries a search of so many lists finds."""
+    exact, near = search.top_k_join(s.points(), asked, K), ivf.search_join(s.points(), asked, s.centroids(), K, probes)
+    found = exact.select("qid", "cid").join(near.select("qid", "cid", F.lit(1).alias("hit")), ["qid", "cid"], "left")
+    return found.agg(F.count("*").alias("wanted"), F.count("hit").alias("found")).withColumn("recall", F.col("found") / F.col("wanted"))
 
 
 @_register()
 def ivf_recall(spark, sf):
     s = _snapshot(spark, sf)
-    exact, near = (x.select("qid", "cid") for x in (search.top_k_join(s.points(), _queries(spark, sf), K), ivf.search_join(s.points(), _queries(spark, sf), s.centroids(), K, max(1, len(s.centroids()) // 2))))
-    found = exact.join(near.withColumn("hit", F.lit(1)), ["qid", "cid"], "left")
-    return found.agg(F.count("*").alias("wanted"), F.count("hit").alias("found")).withColumn("recall", F.col("found") / F.col("wanted"))
+    return recall(s, _queries(spark, sf), s.config.index.default_probes)
 
 
 @_register("SELECT count(*) AS n FROM embeddings")
