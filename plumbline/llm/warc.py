@@ -192,7 +192,8 @@ def reachable(ranges: DataFrame, scratch: Scratch) -> DataFrame:
 
     every = scratch.save(ranges.mapInPandas(run, "file string, place long, jump long"), "exits")
     entered = every.where("jump > 0").select("file", F.col("jump").alias("place")).union(every.where("place = 0").select("file", "place")).distinct()
-    jumps = scratch.save(every.join(entered, ["file", "place"]).where("jump > 0"), "jumps")
+    # candidates compress so well that their files look small enough to broadcast
+    jumps = scratch.save(every.join(entered.hint("merge"), ["file", "place"]).where("jump > 0"), "jumps")
     reached = scratch.save(every.where("place = 0").select("file", "place"), "reached")
     count = reached.count()
     while True:
