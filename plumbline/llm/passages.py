@@ -8,6 +8,8 @@ alike in every text that holds it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,9 +24,10 @@ from .pairing import block_members, forest
 LENGTH = 24
 REACH = 4
 SHINGLE = 3
-BANDS = 3
+BANDS = 7
 ROWS = 3
 THRESHOLD = 0.7
+WAVE = 4  # bands that go through one shuffle
 BLOCK = 512
 SEED = 60
 _SPAN = 20  # bits of a paragraph's number of characters beside its start
@@ -53,14 +56,15 @@ def _paragraphs(texts: list[str], length: int, reach: int) -> tuple[textops.Word
     return w, at, np.searchsorted(w.first, at, side="right") - 1
 
 
-def _banded(docs: DataFrame, length: int, reach: int, shingle: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """(key, band, content, doc_id, span) for each paragraph and band.
+def _banded(docs: DataFrame, length: int, reach: int, shingle: int, bands: range, rows: int, seed: int) -> DataFrame:
+    """(key, content, doc_id, span) for each paragraph and each of these bands.
 
     content is the hash of all its words; span has the first character and,
     in the low bits, the number of characters.
     """
-    factors, addends = textops.permutations(bands * rows, seed)
-    salt = textops.mix(np.arange(1, bands + 1, dtype=np.uint64))
+    factors, addends = textops.permutations(16 * rows, seed)  # the same for a band whatever the others are
+    number = np.array(bands, np.uint64)
+    salt = textops.mix(number + np.uint64(1))
 
     def run(batches):
         for batch in batches:
@@ -72,8 +76,8 @@ def _banded(docs: DataFrame, length: int, reach: int, shingle: int, bands: int,
                 runs = textops.fold(w.hash, shingle)
                 content = textops.fold(w.hash, length)[at]
                 keys = np.repeat(salt[None, :], len(at), axis=0)
-                for p in range(bands * rows):
-                    h = runs * factors[p] + addends[p]
+                for p in range(len(bands) * rows):
+                    h = runs * factors[bands[0] * rows + p] + addends[bands[0] * rows + p]
                     # least of each window of the paragraph's shingles, by doubling
                     size, low = 1, h
                     width = length - shingle + 1
@@ -83,11 +87,11 @@ def _banded(docs: DataFrame, length: int, reach: int, shingle: int, bands: int,
                     least = np.minimum(low[at], low[at + width - size])
                     keys[:, p // rows] = textops.mix(keys[:, p // rows] ^ (least >> np.uint64(16)))
                 # the band is in the key's low bits, so that it needs no column
-                keys = (keys & ~np.uint64(15)) | np.arange(bands, dtype=np.uint64)[None, :]
+                keys = (keys & ~np.uint64(15)) | number[None, :]
                 begin = w.start[at]
                 span = (begin << _SPAN) | np.minimum(w.end[at + length - 1] - begin, (1 << _SPAN) - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), *(pa.array(np.repeat(x, bands)) for x in (content.view(np.int64), ids[a:b][text], span))],
+                    [pa.array(keys.ravel().view(np.int64)), *(pa.array(np.repeat(x, len(bands))) for x in (content.view(np.int64), ids[a:b][text], span))],
                     names=["key", "content", "doc_id", "span"],
                 )
 
@@ -129,6 +133,21 @@ def _collisions(table: pa.Table):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), *(pa.array(x[rows]) for x in (key, content, doc, span))], names=["kind", "key", "content", "doc_id", "span"])
 
 
+def alike(sets: list[bytes], one: np.ndarray, other: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets one[i] and other[i], bytes of rising numbers, have at least this exact Jaccard similarity."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets)) // 8
+    width = int(size.max())
+    rows = np.zeros((len(sets), width), np.uint64)
+    has = np.arange(width) < size[:, None]
+    rows[has] = np.frombuffer(b"".join(sets), np.uint64)
+    both = np.concatenate([rows[one], rows[other]], axis=1)
+    # what is beyond a set's size counts as different from all
+    both[~np.concatenate([has[one], has[other]], axis=1)] = 0
+    both.sort(axis=1)
+    common = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != 0)).sum(axis=1)
+    return common / (size[one] + size[other] - common) >= threshold
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Exact Jaccard similarity of two sets given as arrays without repeats."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -164,9 +183,13 @@ def _near_edges(mixed: DataFrame, docs: DataFrame, length: int, shingle: int, th
 
     def compare(table):
         starts, ids = group_starts(table, ["key", "i", "j"]), table.column("id").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-        us, vs = [], []
-        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        raw = table.column("set").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in raw]
+        two = starts[:-1][np.diff(starts) == 2]
+        two = two[alike(raw, two, two + 1, threshold)]
+        us, vs = ids[two].tolist(), ids[two + 1].tolist()
+        many = np.diff(starts) > 2
+        for s, e in zip(starts[:-1][many].tolist(), starts[1:][many].tolist()):
             for i, j in forest(e - s, lambda i, others: np.array([jaccard(sets[s + i], sets[s + o]) >= threshold for o in others.tolist()], bool)):
                 us.append(int(ids[s + i]))
                 vs.append(int(ids[s + j]))
@@ -181,13 +204,16 @@ def occurrences(docs: DataFrame, scratch: Scratch, length: int = LENGTH, reach:
     first_doc is the document of the cluster's first occurrence by doc_id and
     place; all other occurrences are removed.
     """
-    banded = _banded(docs, length, reach, shingle, bands, rows, seed)
-    hits = scratch.save(by_group(banded, ["key"], _collisions, "kind int, key long, content long, doc_id long, span long"), "hits")
+    if bands > 16:
+        raise ValueError("a key has room for 16 bands")
+    # a few bands at a time, so that their shuffles are not on disk together
+    waves = [_banded(docs, length, reach, shingle, range(b, min(b + WAVE, bands)), rows, seed) for b in range(0, bands, WAVE)]
+    hits = reduce(DataFrame.unionAll, [scratch.save(by_group(w, ["key"], _collisions, "kind int, key long, content long, doc_id long, span long"), "hits") for w in waves])
     mixed = hits.where("kind = 1")
     edges = _near_edges(mixed, docs, length, shingle, threshold, block, scratch)
     clusters = scratch.save(components(edges, scratch), "clusters")
     exact = hits.where("kind = 0").select("content", "doc_id", "span")
-    near = mixed.select("content", "doc_id", "span").join(clusters.select(F.col("node").alias("content")), "content", "left_semi")
+    near = mixed.select("content", "doc_id", "span").distinct().join(clusters.select(F.col("node").alias("content")), "content", "left_semi")
     every = exact.union(near).distinct().join(clusters, F.col("content") == F.col("node"), "left")
     every = every.select(F.coalesce("component", "content").alias("cluster"), "doc_id", "span")
     # the first occurrence comes from an aggregate, not a window, so that no task holds a whole cluster
