@@ -34,7 +34,12 @@ _SPAN = 20  # bits of a paragraph's number of characters beside its start
 
 
 def anchors(pairs: np.ndarray, first: np.ndarray, reach: int, length: int) -> np.ndarray:
-    """Where paragraphs start: the least hash within ``reach`` on both sides (the leftmost if tied), with ``length`` words to follow."""
+    """Where paragraphs start: the least hash within ``reach`` on both sides (the leftmost if tied), with ``length`` words to follow.
+
+    Ties can leave a long stretch without any, as a loop of a few words does.
+    There the rightmost minima of windows of 4 * reach + 1 pairs are taken,
+    those that leave ``length`` words after the paragraph before them.
+    """
     n = len(pairs)
     if n == 0:
         return np.zeros(0, np.int64)
@@ -46,7 +51,37 @@ def anchors(pairs: np.ndarray, first: np.ndarray, reach: int, length: int) -> np
         low &= pairs <= padded[reach + d : reach + d + n]
     at = np.flatnonzero(low)
     text = np.searchsorted(first, at, side="right") - 1
-    return at[at + length <= first[text + 1]]
+    fits = at + length <= first[text + 1]
+    return np.sort(np.concatenate([at[fits], _between(pairs, first, at[fits], text[fits], reach, length)]))
+
+
+def _between(pairs: np.ndarray, first: np.ndarray, at: np.ndarray, text: np.ndarray, reach: int, length: int) -> np.ndarray:
+    """More paragraph starts, in the long stretches of texts between those at ``at``."""
+    window, texts = 4 * reach + 1, np.arange(len(first) - 1)
+    # each text's start and end bound its stretches; a paragraph can end with its text
+    marks = np.concatenate([first[:-1] - length, at, first[1:] - length + reach + 1])
+    owner = np.concatenate([texts, text, texts])
+    order = np.lexsort((np.repeat([0, 1, 2], [len(texts), len(at), len(texts)]), owner))
+    marks, owner = marks[order], owner[order]
+    same = owner[1:] == owner[:-1]
+    before, after, owner = marks[:-1], marks[1:], owner[:-1]
+    begin, end = np.maximum(before + 1, first[owner]), np.minimum(after, first[owner + 1] - 1)
+    wide = same & (after - before > length + reach) & (end - begin >= window)
+    more: list[int] = []
+    for a, b, s, e in zip(before[wide].tolist(), after[wide].tolist(), begin[wide].tolist(), end[wide].tolist()):
+        m = e - s - window + 1
+        least, where = pairs[s : s + m].copy(), np.arange(s, s + m)
+        for d in range(1, window):
+            other = pairs[s + d : s + d + m]
+            less = other <= least
+            least[less] = other[less]
+            where[less] = np.flatnonzero(less) + s + d
+        where = np.unique(where)
+        i = np.searchsorted(where, a + length)
+        while i < len(where) and where[i] < b - reach:
+            more.append(int(where[i]))
+            i = np.searchsorted(where, where[i] + length)
+    return np.array(more, np.int64)
 
 
 def _paragraphs(texts: list[str], length: int, reach: int) -> tuple[textops.Words, np.ndarray, np.ndarray]:
@@ -236,7 +271,8 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, **parameters) -> DataFr
     """(doc_id, start_char, end_char, first_doc, removed): all passages that repeat.
 
     Paragraphs of ``length`` words start at anchors about every 2 * reach + 1
-    words (textops has what a word is); each gives ``bands`` keys of ``rows``
+    words (textops has what a word is), and in loops of a few words too (see
+    anchors); each gives ``bands`` keys of ``rows``
     minima over its shingles.  Paragraphs that share a key are compared (but
     not neighbours that overlap in one text, which share part of their words):
     equal ones repeat, others if the exact Jaccard similarity of their

@@ -38,3 +38,26 @@ def test_edited_passages_are_found(spark):
     found = sum(place(i) in cluster and cluster[place(i)] == cluster.get(place(j)) for i, j in pairs)
     print("recall", found / len(pairs), len(pairs))
     assert found / len(pairs) >= 0.9
+
+
+def test_loops_are_found(spark):
+    rng = random.Random(13)
+    texts, loops = [], []
+    for k in range(80):
+        loop = " ".join([f"loop{k}x{j}" for j in range(k % 4 + 1)] * (200 // (k % 4 + 1)))
+        loops += [loop] * 2
+        texts += [f"{prose(rng, 50)} {loop} {prose(rng, 50)}" for _ in range(2)]
+    spans = {}
+    for r in passages.repeated_passages(table(spark, list(enumerate(texts))), Scratch(spark)).collect():
+        spans.setdefault(r.doc_id, []).append((r.start_char, r.end_char))
+    shares = []
+    for i, (t, loop) in enumerate(zip(texts, loops)):
+        a = t.find(loop)
+        inside = np.zeros(len(t), bool)
+        for s, e in spans.get(i, []):
+            inside[s:e] = True
+        shares.append(inside[a : a + len(loop)].mean())
+    print("loops", np.mean(shares), min(shares))
+    assert min(shares) > 0.7
+    w, at, text = passages._paragraphs(["a " * 100, "a " * 24, "a", "", "0 1 " * 5000], passages.LENGTH, passages.REACH)
+    assert len(at) and (at + passages.LENGTH <= w.first[text + 1]).all() and (np.diff(at) >= passages.LENGTH).all() and {0, 1, 4} >= set(text.tolist()) >= {0, 4}
