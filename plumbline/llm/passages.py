@@ -234,10 +234,11 @@ def _near_edges(mixed: DataFrame, docs: DataFrame, length: int, shingle: int, th
 
 
 def occurrences(docs: DataFrame, scratch: Scratch, length: int = LENGTH, reach: int = REACH, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """(cluster, doc_id, span, first_doc, removed): each paragraph that another one repeats.
+    """(cluster, doc_id, span, first_doc, removed, other): each paragraph that another one repeats.
 
     first_doc is the document of the cluster's first occurrence by doc_id and
-    place; all other occurrences are removed.
+    place; all other occurrences are removed.  other is the (doc_id, span) of
+    the first occurrence, or of the last one for the first itself.
     """
     if bands > 16:
         raise ValueError("a key has room for 16 bands")
@@ -252,19 +253,94 @@ def occurrences(docs: DataFrame, scratch: Scratch, length: int = LENGTH, reach:
     every = exact.union(near).distinct().join(clusters, F.col("content") == F.col("node"), "left")
     every = every.select(F.coalesce("component", "content").alias("cluster"), "doc_id", "span")
     # the first occurrence comes from an aggregate, not a window, so that no task holds a whole cluster
-    heads = every.groupBy("cluster").agg(F.min(F.struct("doc_id", "span")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = every.groupBy("cluster").agg(F.min(F.struct("doc_id", "span")).alias("head"), F.max(F.struct("doc_id", "span")).alias("tail"), F.count("*").alias("n")).where("n > 1")
     joined = every.join(heads, "cluster")
-    return joined.select("cluster", "doc_id", "span", F.col("head.doc_id").alias("first_doc"), (F.struct("doc_id", "span") != F.col("head")).alias("removed"))
+    removed = F.struct("doc_id", "span") != F.col("head")
+    return joined.select("cluster", "doc_id", "span", F.col("head.doc_id").alias("first_doc"), removed.alias("removed"), F.when(removed, F.col("head")).otherwise(F.col("tail")).alias("other"))
 
 
-def _merged(found: DataFrame) -> DataFrame:
-    """Overlapping paragraphs of a document that are alike removed or kept as one row."""
-    spans = found.select("doc_id", "removed", "first_doc", (F.shiftright("span", _SPAN)).alias("s"), (F.shiftright("span", _SPAN) + F.col("span").bitwiseAND((1 << _SPAN) - 1)).alias("e"))
+def _merged(spans: DataFrame) -> DataFrame:
+    """Overlapping spans (doc_id, removed, s, e) of a document that are alike removed or kept get the same part."""
     order = Window.partitionBy("doc_id", "removed").orderBy("s", "e")
     before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     part = F.sum(F.when(before >= F.col("s"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = spans.withColumn("part", part)
-    return marked.groupBy("doc_id", "removed", "part").agg(F.min("s").alias("start_char"), F.max("e").alias("end_char"), F.min("first_doc").alias("first_doc")).drop("part")
+    return spans.withColumn("part", part)
+
+
+def _around(asked: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(doc, side, pos, near): the ``words`` words before (side 0) or from (side 1) each place (doc, side, pos).
+
+    Places where rows of a repeated doc_id differ are left out.
+    """
+    grouped = asked.distinct().groupBy("doc").agg(F.collect_list(F.struct("side", "pos")).alias("places"))
+    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(grouped, F.col("doc_id") == F.col("doc")).select("doc", "text", F.col("places.side").alias("sides"), F.col("places.pos").alias("at"))
+
+    def run(batches):
+        for batch in batches:
+            for doc, text, sides, at in zip(*(c.to_pylist() for c in batch.columns)):
+                out = []
+                for side, pos in zip(sides, at):
+                    reach = 12 * words
+                    while True:
+                        part = text[pos : pos + reach] if side else text[max(0, pos - reach) : pos]
+                        w = textops.words([part])
+                        # the farthest word may be cut
+                        if len(w.hash) > words or reach >= len(text):
+                            break
+                        reach *= 2
+                    if len(w.hash) > words:
+                        part = part[: w.end[words - 1]] if side else part[w.start[-words] :]
+                    out.append(part)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), doc)), pa.array(sides, pa.int32()), pa.array(at, pa.int64()), pa.array(out, pa.string())], names=["doc", "side", "pos", "near"])
+
+    near = found.mapInArrow(run, "doc long, side int, pos long, near string")
+    return near.groupBy("doc", "side", "pos").agg(F.min("near").alias("near"), F.max("near").alias("last")).where("near = last").drop("last")
+
+
+def _agreeing(batches):
+    """How many characters further the text of each row agrees word by word with the other's."""
+    for batch in batches:
+        sides, own, other = (batch.column(k).to_pylist() for k in ("side", "near", "other_near"))
+        more = np.zeros(len(sides), np.int64)
+        own, other = [x or "" for x in own], [x or "" for x in other]
+        for a, b in textops.blocks(own):
+            w, o = textops.words(own[a:b]), textops.words(other[a:b])
+            for i in range(b - a):
+                x, y = w.hash[w.first[i] : w.first[i + 1]], o.hash[o.first[i] : o.first[i + 1]]
+                n = min(len(x), len(y))
+                if sides[a + i]:
+                    differ = np.flatnonzero(x[:n] != y[:n])
+                    n = int(differ[0]) if len(differ) else n
+                    more[a + i] = w.end[w.first[i] + n - 1] if n else 0
+                else:
+                    differ = np.flatnonzero(x[len(x) - n :][::-1] != y[len(y) - n :][::-1])
+                    n = int(differ[0]) if len(differ) else n
+                    more[a + i] = len(own[a + i]) - w.start[w.first[i + 1] - n] if n else 0
+        names = ["doc_id", "removed", "part", "side", "pos", "first_doc"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(more)], names=[*names, "more"])
+
+
+def _passages(found: DataFrame, docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """(doc_id, removed, first_doc, start_char, end_char): paragraphs in a row as one passage, whose ends go as far as texts agree.
+
+    An end is compared with its paragraph's other occurrence.  Texts that agree
+    over 2 * length more words have another paragraph there in common, with
+    ends of its own.
+    """
+    begin, past = (lambda c: F.shiftright(c, _SPAN)), (lambda c: F.shiftright(c, _SPAN) + F.col(c).bitwiseAND((1 << _SPAN) - 1))
+    spans = found.select("doc_id", "removed", "first_doc", begin("span").alias("s"), past("span").alias("e"), F.col("other.doc_id").alias("doc"), begin("other.span").alias("os"), past("other.span").alias("oe"))
+    ends = _merged(spans).groupBy("doc_id", "removed", "part").agg(F.min(F.struct("s", "doc", "os")).alias("l"), F.max(F.struct("e", "doc", "oe")).alias("r"), F.min("first_doc").alias("first_doc"))
+    side = lambda k, c, p, o: F.struct(F.lit(k).alias("side"), F.col(f"{c}.{p}").alias("pos"), F.col(f"{c}.doc").alias("other_doc"), F.col(f"{c}.{o}").alias("other_pos"))
+    sides = ends.select("doc_id", "removed", "part", "first_doc", F.explode(F.array(side(0, "l", "s", "os"), side(1, "r", "e", "oe"))).alias("x")).select("doc_id", "removed", "part", "first_doc", "x.*")
+    sides = scratch.save(sides, "sides")
+    asked = sides.select(F.col("doc_id").alias("doc"), "side", "pos").union(sides.select("other_doc", "side", "other_pos"))
+    near = scratch.save(_around(asked, docs, 2 * length), "around")
+    own = near.withColumnRenamed("doc", "doc_id")
+    other = near.select(F.col("doc").alias("other_doc"), "side", F.col("pos").alias("other_pos"), F.col("near").alias("other_near"))
+    both = sides.join(own, ["doc_id", "side", "pos"], "left").join(other, ["other_doc", "side", "other_pos"], "left")
+    grown = both.select("doc_id", "removed", "part", "side", "pos", "first_doc", "near", "other_near").mapInArrow(_agreeing, "doc_id long, removed boolean, part long, side int, pos long, first_doc long, more long")
+    whole = grown.groupBy("doc_id", "removed", "part").agg(F.min(F.when(F.col("side") == 0, F.col("pos") - F.col("more"))).alias("s"), F.max(F.when(F.col("side") == 1, F.col("pos") + F.col("more"))).alias("e"), F.min("first_doc").alias("first_doc"))
+    return _merged(whole.drop("part")).groupBy("doc_id", "removed", "part").agg(F.min("s").alias("start_char"), F.max("e").alias("end_char"), F.min("first_doc").alias("first_doc")).drop("part")
 
 
 def repeated_passages(docs: DataFrame, scratch: Scratch, **parameters) -> DataFrame:
@@ -278,8 +354,8 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, **parameters) -> DataFr
     equal ones repeat, others if the exact Jaccard similarity of their
     shingles is at least ``threshold``.  Clusters are connected components.
     The first occurrence by (doc_id, place) stays, all others are removed,
-    in the same document too.  Overlapping paragraphs are merged: a row
-    covers text[start_char:end_char], and first_doc is the least doc_id that
+    in the same document too.  Overlapping paragraphs are merged, and both
+    ends go on word by word while the texts agree: a row covers text[start_char:end_char], and first_doc is the least doc_id that
     keeps a copy of a part of it.
 
     Rows with a null doc_id or text, and texts of fewer than ``length`` words,
@@ -287,7 +363,8 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, **parameters) -> DataFr
     one document; with other texts, all their passages count as that
     document's.  Other columns are ignored.  No documents, no rows.
     """
-    return _merged(occurrences(docs, scratch, **parameters)).select("doc_id", F.col("start_char").cast("long"), F.col("end_char").cast("long"), "first_doc", "removed")
+    found = occurrences(docs, scratch, **parameters)
+    return _passages(found, docs, scratch, parameters.get("length", LENGTH)).select("doc_id", F.col("start_char").cast("long"), F.col("end_char").cast("long"), "first_doc", "removed")
 
 
 def cut_passages(docs: DataFrame, scratch: Scratch, **parameters) -> DataFrame:

@@ -61,3 +61,26 @@ def test_loops_are_found(spark):
     assert min(shares) > 0.7
     w, at, text = passages._paragraphs(["a " * 100, "a " * 24, "a", "", "0 1 " * 5000], passages.LENGTH, passages.REACH)
     assert len(at) and (at + passages.LENGTH <= w.first[text + 1]).all() and (np.diff(at) >= passages.LENGTH).all() and {0, 1, 4} >= set(text.tolist()) >= {0, 4}
+
+
+def test_passages_are_cut_to_their_ends(spark):
+    rng = random.Random(14)
+    texts, own = [], []
+    for n in (51, 60, 90, 200) * 20:
+        p = prose(rng, n)
+        texts += [f"{prose(rng, 40)} {p} {prose(rng, 40)}" for _ in range(2)]
+        own += [p] * 2
+    spans = {}
+    for r in passages.repeated_passages(table(spark, list(enumerate(texts))), Scratch(spark)).collect():
+        spans.setdefault(r.doc_id, []).append((r.start_char, r.end_char))
+    inside = beside = 0
+    shares = []
+    for i, (t, p) in enumerate(zip(texts, own)):
+        a, covered = t.find(p), np.zeros(len(t), bool)
+        for s, e in spans.get(i, []):
+            covered[s:e] = True
+        shares.append(covered[a : a + len(p)].mean())
+        beside += covered[:a].sum() + covered[a + len(p) :].sum()
+        inside += covered.sum()
+    print("coverage", np.mean(shares), min(shares), beside, inside)
+    assert min(shares) > 0.95 and beside < 0.02 * inside
