@@ -185,6 +185,24 @@ def search(points: DataFrame, passes: Column | None, centroids: np.ndarray, tota
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "cid", "score"), stats
 
 
+def enough_probes(points: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, least: float = 0.95, sample: int = 256) -> int:
+    """The fewest lists in which a sample of the queries finds this share of its exact best k.
+
+    The sample is those of lowest hash; points and queries are as in search_join.
+    """
+    from .search import top_k_join
+
+    asked = queries.select("qid", "vector").orderBy(F.xxhash64("qid"), "qid").limit(sample)
+    exact = top_k_join(points, asked, k).select("qid", "cid")
+    hits = exact.join(points.select("cid", "centroid"), "cid").join(asked, "qid").select("vector", "centroid").collect()  # at most sample * k rows
+    if not hits:
+        return len(centroids)
+    score = cosines(np.array([r["vector"] for r in hits], np.float64), centroids.astype(np.float64))
+    order = np.argsort(-score, axis=1, kind="stable")
+    needed = np.sort((order == np.array([r["centroid"] for r in hits])[:, None]).argmax(axis=1) + 1)
+    return int(needed[min(int(np.ceil(least * len(needed))), len(needed)) - 1])
+
+
 def search_join(points: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, probes: int, block: int = 4096) -> DataFrame:
     """(qid, rank, cid, score) of an approximate search for a table of queries (qid: long, vector), of any size.
 

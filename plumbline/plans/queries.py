@@ -248,10 +248,15 @@ def ivf_topk_all_probes(spark, sf):
     return _hits(ivf.search_join(s.points(), _queries(spark, sf), s.centroids(), K, len(s.centroids())))
 
 
+def _probes(s: Snapshot, asked: DataFrame) -> int:
+    """The default number of lists, or more if a sample of the queries needs them."""
+    return max(s.config.index.default_probes, ivf.enough_probes(s.points(), asked, s.centroids(), K)) if len(s.centroids()) > s.config.index.default_probes else s.config.index.default_probes
+
+
 @_register()
 def ivf_topk_default_probes(spark, sf):
     s = _snapshot(spark, sf)
-    return _hits(ivf.search_join(s.points(), _queries(spark, sf), s.centroids(), K, s.config.index.default_probes))
+    return _hits(ivf.search_join(s.points(), _queries(spark, sf), s.centroids(), K, _probes(s, _queries(spark, sf))))
 
 
 def recall(s: Snapshot, asked: DataFrame, probes: int) -> DataFrame:
@@ -264,7 +269,7 @@ def recall(s: Snapshot, asked: DataFrame, probes: int) -> DataFrame:
 @_register()
 def ivf_recall(spark, sf):
     s = _snapshot(spark, sf)
-    return recall(s, _queries(spark, sf), s.config.index.default_probes)
+    return recall(s, _queries(spark, sf), _probes(s, _queries(spark, sf)))
 
 
 @_register("SELECT count(*) AS n FROM embeddings")
