@@ -27,7 +27,7 @@ SHINGLE = 3
 BANDS = 7
 ROWS = 3
 THRESHOLD = 0.7
-WAVE = 4  # bands that go through one shuffle
+WAVE = 3  # bands that go through one shuffle
 BLOCK = 512
 SEED = 60
 _SPAN = 20  # bits of a paragraph's number of characters beside its start
@@ -244,7 +244,11 @@ def occurrences(docs: DataFrame, scratch: Scratch, length: int = LENGTH, reach:
         raise ValueError("a key has room for 16 bands")
     # a few bands at a time, so that their shuffles are not on disk together
     waves = [_banded(docs, length, reach, shingle, range(b, min(b + WAVE, bands)), rows, seed) for b in range(0, bands, WAVE)]
-    hits = reduce(DataFrame.unionAll, [scratch.save(by_group(w, ["key"], _collisions, "kind int, key long, content long, doc_id long, span long"), "hits") for w in waves])
+    saved = []
+    for wave in waves:
+        saved.append(scratch.save(by_group(wave, ["key"], _collisions, "kind int, key long, content long, doc_id long, span long"), "hits"))
+        scratch.spark.sparkContext._jvm.System.gc()  # Spark deletes a shuffle once the driver has collected it
+    hits = reduce(DataFrame.unionAll, saved)
     mixed = hits.where("kind = 1")
     edges = _near_edges(mixed, docs, length, shingle, threshold, block, scratch)
     clusters = scratch.save(components(edges, scratch), "clusters")
