@@ -155,6 +155,13 @@ def splitter():
     return regex.compile(PATTERN).findall
 
 
+def finder():
+    """A function that gives a text's words as matches, one at a time."""
+    import regex
+
+    return regex.compile(PATTERN).finditer
+
+
 def count_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) for each row of docs: tokens of text under the byte-level vocabulary of a file of ranks.
 

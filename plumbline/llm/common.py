@@ -9,6 +9,7 @@ temporary folder is used.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,6 +39,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/plumbline-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
         _open.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -48,14 +50,28 @@ class Scratch:
         back.scratch_path = at
         return back
 
+    def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """The same, in buckets by key, so that a join on key with as many shuffle partitions doesn't move it."""
+        table = f"plumbline_{name}_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, key).option("path", f"{self.path}/{table}").option("compression", "zstd").format("parquet").saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
     def drop(self, df: DataFrame) -> None:
         """Delete one saved table that nothing will read again."""
         _delete(self.spark, df.scratch_path)
 
+    def free(self) -> None:
+        """Let go of the shuffles of what has been saved: Spark deletes one once the driver has collected it."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def release(self) -> None:
         """Delete everything saved here."""
         if self in _open:
             _open.remove(self)
+            for table in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
             _delete(self.spark, self.path)
 
 

@@ -57,6 +57,11 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.round_trip(_table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def bpe_decoded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operator 10 decodes, by itself, so that SQL can compare it."""
+    return op10_bpe_encoding(spark, sf_dir).select("doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_embedding_near_dedup,
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_counts,
         op9_warc,
         op10_bpe_encoding,
+        bpe_decoded_text,
     )
     return {f.__name__: f for f in found}
 
@@ -105,5 +111,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_near_dedup": _GROUPS,
         "op4_source_mixing": _MIXED,
+        "bpe_decoded_text": "SELECT doc_id, text FROM documents",
         "op9_warc": "SELECT page_id, url, html FROM pages",
     }
