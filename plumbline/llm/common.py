@@ -2,22 +2,24 @@
 
 Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir`` (a
 folder that every executor reaches), so a lost executor costs a re-read and
-never the result.  Only where that setting is absent, as in tests, a local
-temporary folder is used.
+never the result.  Only in local mode a temporary folder is used where that
+setting is absent, as in tests.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _fallback: str | None = None
 _open: list["Scratch"] = []
 
@@ -28,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     if _fallback is None:
         _fallback = tempfile.mkdtemp(prefix="plumbline-")
     return f"file://{_fallback}"
@@ -42,10 +46,24 @@ class Scratch:
         self.tables: list[str] = []
         _open.append(self)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    @contextmanager
+    def _shuffles_freed(self):
+        """Writes inside let go of their shuffles at their end, since what is saved is never made again."""
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            yield
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
+
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Write df and read it back: its lineage ends here."""
         at = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(at)
+        with self._shuffles_freed():
+            df.write.options(compression="zstd", **options).parquet(at)
         back = self.spark.read.schema(df.schema).parquet(at)
         back.scratch_path = at
         return back
@@ -53,7 +71,8 @@ class Scratch:
     def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
         """The same, in buckets by key, so that a join on key with as many shuffle partitions doesn't move it."""
         table = f"plumbline_{name}_{uuid.uuid4().hex}"
-        df.write.bucketBy(buckets, key).option("path", f"{self.path}/{table}").option("compression", "zstd").format("parquet").saveAsTable(table)
+        with self._shuffles_freed():
+            df.write.bucketBy(buckets, key).option("path", f"{self.path}/{table}").option("compression", "zstd").format("parquet").saveAsTable(table)
         self.tables.append(table)
         return self.spark.table(table)
 
@@ -61,11 +80,6 @@ class Scratch:
         """Delete one saved table that nothing will read again."""
         _delete(self.spark, df.scratch_path)
 
-    def free(self) -> None:
-        """Let go of the shuffles of what has been saved: Spark deletes one once the driver has collected it."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def release(self) -> None:
         """Delete everything saved here."""
         if self in _open:

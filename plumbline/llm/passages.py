@@ -1,9 +1,10 @@
 """Operator 6: passages that repeat, found by MinHash of paragraphs.
 
 Repeated passages begin in the middle of lines as often as not, so paragraphs
-are cut by content: one starts wherever a word pair's hash is the least of its
-neighbourhood, and spans a fixed number of words.  The same passage is cut
-alike in every text that holds it.
+are cut by content: of any ``window`` successive words that a paragraph could
+start at, the one whose word pair has the least hash is a start, and a
+paragraph spans a fixed number of words.  The same passage is cut alike in
+every text that holds it.
 """
 
 from __future__ import annotations
@@ -19,286 +20,335 @@ from pyspark.sql.window import Window
 from . import textops
 from .common import Scratch, by_group, group_starts, unique_name
 from .components import components
-from .pairing import block_members, forest
+from .pairing import block_members
 
 LENGTH = 24
-REACH = 4
+WINDOW = 28
 SHINGLE = 3
-BANDS = 7
+BANDS = 8
 ROWS = 3
 THRESHOLD = 0.7
 WAVE = 3  # bands that go through one shuffle
 BLOCK = 512
 SEED = 60
-_SPAN = 20  # bits of a paragraph's number of characters beside its start
+FEW = 1 << 20  # keys, of 8 bytes, that may be broadcast; more are joined by a shuffle
 
 
-def anchors(pairs: np.ndarray, first: np.ndarray, reach: int, length: int) -> np.ndarray:
-    """Where paragraphs start: the least hash within ``reach`` on both sides (the leftmost if tied), with ``length`` words to follow.
+def recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
+    """Probability that two paragraphs of this Jaccard similarity share a key."""
+    return 1 - (1 - similarity**rows) ** bands
 
-    Ties can leave a long stretch without any, as a loop of a few words does.
-    There the rightmost minima of windows of 4 * reach + 1 pairs are taken,
-    those that leave ``length`` words after the paragraph before them.
+
+def anchors(pairs: np.ndarray, first: np.ndarray, window: int, length: int) -> np.ndarray:
+    """Where paragraphs start: the least hash (the rightmost if tied) of each ``window`` successive words with ``length`` words to follow.
+
+    pairs has the hash of the word pair at each word, but for the block's
+    last.  A text with fewer such words has one start.  In a loop of a few
+    words one least hash comes again and again; of those only as many are kept
+    as leave none of the windows without a start.
     """
-    n = len(pairs)
-    if n == 0:
+    valid = np.maximum(np.diff(first) - length + 1, 0)
+    if not valid.any():
         return np.zeros(0, np.int64)
-    far = np.full(reach, np.iinfo(np.uint64).max, np.uint64)
-    padded = np.concatenate([far, pairs, far])
-    low = np.ones(n, bool)
-    for d in range(1, reach + 1):
-        low &= pairs < padded[reach - d : reach - d + n]
-        low &= pairs <= padded[reach + d : reach + d + n]
-    at = np.flatnonzero(low)
+    pairs = np.append(pairs, pairs[-1:])
+    best, size = np.arange(len(pairs)), 1
+
+    def less(a, b):
+        return np.where(pairs[b] <= pairs[a], b, a)
+
+    wide = np.flatnonzero(valid >= window)
+    n = valid[wide] - window + 1
+    at = np.zeros(0, np.int64)
+    if len(wide):
+        # the least of each window by doubling
+        while size * 2 <= window:
+            best = less(best[: len(best) - size], best[size:])
+            size *= 2
+        if size < window:
+            best = less(best[: len(best) - window + size], best[window - size :])
+        at = np.unique(best[np.arange(n.sum()) + np.repeat(first[:-1][wide] - (np.cumsum(n) - n), n)])
+    few = [first[t] + valid[t] - 1 - int(np.argmin(pairs[first[t] : first[t] + valid[t]][::-1])) for t in np.flatnonzero((valid > 0) & (valid < window)).tolist()]
+    at = np.sort(np.concatenate([at, np.array(few, np.int64)]))
     text = np.searchsorted(first, at, side="right") - 1
-    fits = at + length <= first[text + 1]
-    return np.sort(np.concatenate([at[fits], _between(pairs, first, at[fits], text[fits], reach, length)]))
-
-
-def _between(pairs: np.ndarray, first: np.ndarray, at: np.ndarray, text: np.ndarray, reach: int, length: int) -> np.ndarray:
-    """More paragraph starts, in the long stretches of texts between those at ``at``."""
-    window, texts = 4 * reach + 1, np.arange(len(first) - 1)
-    # each text's start and end bound its stretches; a paragraph can end with its text
-    marks = np.concatenate([first[:-1] - length, at, first[1:] - length + reach + 1])
-    owner = np.concatenate([texts, text, texts])
-    order = np.lexsort((np.repeat([0, 1, 2], [len(texts), len(at), len(texts)]), owner))
-    marks, owner = marks[order], owner[order]
-    same = owner[1:] == owner[:-1]
-    before, after, owner = marks[:-1], marks[1:], owner[:-1]
-    begin, end = np.maximum(before + 1, first[owner]), np.minimum(after, first[owner + 1] - 1)
-    wide = same & (after - before > length + reach) & (end - begin >= window)
-    more: list[int] = []
-    for a, b, s, e in zip(before[wide].tolist(), after[wide].tolist(), begin[wide].tolist(), end[wide].tolist()):
-        m = e - s - window + 1
-        least, where = pairs[s : s + m].copy(), np.arange(s, s + m)
-        for d in range(1, window):
-            other = pairs[s + d : s + d + m]
-            less = other <= least
-            least[less] = other[less]
-            where[less] = np.flatnonzero(less) + s + d
-        where = np.unique(where)
-        i = np.searchsorted(where, a + length)
-        while i < len(where) and where[i] < b - reach:
-            more.append(int(where[i]))
-            i = np.searchsorted(where, where[i] + length)
-    return np.array(more, np.int64)
-
-
-def _paragraphs(texts: list[str], length: int, reach: int) -> tuple[textops.Words, np.ndarray, np.ndarray]:
+    tied = np.append(False, (pairs[at[1:]] == pairs[at[:-1]]) & (text[1:] == text[:-1]) & (at[1:] - at[:-1] <= window))
+    head = np.flatnonzero(~tied)
+    end = np.append(head[1:], len(at))
+    keep, after = np.ones(len(at), bool), np.where(np.append(text[1:] == text[:-1], False), np.append(at[1:], 0), first[text] + valid[text])
+    for a, b in zip(head[end - head > 1].tolist(), end[end - head > 1].tolist()):
+        while a < b - 1:
+            # with the next start, or the text's end, so near, the others of the loop aren't needed
+            onward = b if after[b - 1] <= at[a] + window else max(a + 1, int(np.searchsorted(at[:b], at[a] + window, side="right")) - 1)
+            keep[a + 1 : onward] = False
+            a = onward
+    return at[keep]
+
+
+def _paragraphs(texts: list[str], length: int, window: int) -> tuple[textops.Words, np.ndarray, np.ndarray]:
     """Words of the texts, the first word of each paragraph, and its text."""
     w = textops.words(texts)
-    at = anchors(textops.fold(w.hash, 2), w.first, reach, length)
+    at = anchors(textops.fold(w.hash, 2), w.first, window, length)
     return w, at, np.searchsorted(w.first, at, side="right") - 1
 
 
-def _banded(docs: DataFrame, length: int, reach: int, shingle: int, bands: range, rows: int, seed: int) -> DataFrame:
-    """(key, content, doc_id, span) for each paragraph and each of these bands.
-
-    content is the hash of all its words; span has the first character and,
-    in the low bits, the number of characters.
+def band_keys(w: textops.Words, at: np.ndarray, length: int, shingle: int, bands: int, rows: int, seed: int) -> np.ndarray:
+    """A key for each paragraph (row) and band (column), made of the band's minima and its number."""
+    factors, addends = textops.permutations(bands * rows, seed)
+    runs, width = textops.fold(w.hash, shingle), length - shingle + 1
+    keys = np.repeat(textops.mix(np.arange(1, bands + 1, dtype=np.uint64))[None, :], len(at), axis=0)
+    for p in range(bands * rows):
+        # least of each window of the paragraph's shingles, by doubling
+        size, low = 1, runs * factors[p] + addends[p]
+        while size * 2 <= width:
+            low = np.minimum(low[: len(low) - size], low[size:])
+            size *= 2
+        least = np.minimum(low[at], low[at + width - size])
+        keys[:, p // rows] = textops.mix(keys[:, p // rows] ^ (least >> np.uint64(16)))
+    return keys
+
+
+def _beside(keys: np.ndarray, content: np.ndarray, at: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
+    """Where a paragraph shares a key with exactly one other that overlaps it in its text, and so does that one: true for the larger content of the two."""
+    many, larger, pairs = np.zeros(keys.shape, np.int16), np.zeros(keys.shape, bool), []
+    for d in range(1, len(at)):
+        over = (text[d:] == text[:-d]) & (at[d:] - at[:-d] < length)
+        if not over.any():
+            break
+        same = over[:, None] & (keys[d:] == keys[:-d])
+        many[d:] += same
+        many[:-d] += same
+        up = (content[d:] >= content[:-d])[:, None]
+        larger[d:] |= same & up
+        larger[:-d] |= same & ~up
+        pairs.append((d, same))
+    for d, same in pairs:
+        more = same & ((many[d:] != 1) | (many[:-d] != 1))
+        larger[d:] &= ~more
+        larger[:-d] &= ~more
+    return larger
+
+
+def _scanned(docs: DataFrame, length: int, window: int, shingle: int, bands: int, rows: int, seed: int) -> DataFrame:
+    """(doc_id, h, s, e, content, beside, k0, k1, ...) for each paragraph.
+
+    h is a hash of the whole text, since texts can share a doc_id; s and e
+    are its first and past-the-end character, content the hash of all its
+    words.  A paragraph whose key in a band is that of another that overlaps
+    it has this band's bit in ``beside`` if its content is the larger.
     """
-    factors, addends = textops.permutations(16 * rows, seed)  # the same for a band whatever the others are
-    number = np.array(bands, np.uint64)
-    salt = textops.mix(number + np.uint64(1))
+    names = ["doc_id", "h", "s", "e", "content", "beside", *(f"k{b}" for b in range(bands))]
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            ids, hashes, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for a, b in textops.blocks(texts):
-                w, at, text = _paragraphs(texts[a:b], length, reach)
+                w, at, text = _paragraphs(texts[a:b], length, window)
                 if not len(at):
                     continue
-                runs = textops.fold(w.hash, shingle)
-                content = textops.fold(w.hash, length)[at]
-                keys = np.repeat(salt[None, :], len(at), axis=0)
-                for p in range(len(bands) * rows):
-                    h = runs * factors[bands[0] * rows + p] + addends[bands[0] * rows + p]
-                    # least of each window of the paragraph's shingles, by doubling
-                    size, low = 1, h
-                    width = length - shingle + 1
-                    while size * 2 <= width:
-                        low = np.minimum(low[: len(low) - size], low[size:])
-                        size *= 2
-                    least = np.minimum(low[at], low[at + width - size])
-                    keys[:, p // rows] = textops.mix(keys[:, p // rows] ^ (least >> np.uint64(16)))
-                # the band is in the key's low bits, so that it needs no column
-                keys = (keys & ~np.uint64(15)) | number[None, :]
-                begin = w.start[at]
-                span = (begin << _SPAN) | np.minimum(w.end[at + length - 1] - begin, (1 << _SPAN) - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), *(pa.array(np.repeat(x, len(bands))) for x in (content.view(np.int64), ids[a:b][text], span))],
-                    names=["key", "content", "doc_id", "span"],
-                )
-
-    source = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return source.mapInArrow(run, "key long, content long, doc_id long, span long")
-
-
-def _collisions(table: pa.Table):
-    """Rows of keys with two paragraphs or more: kind 0, occurrences of repeated contents; kind 1, different contents."""
-    starts = group_starts(table, ["key"])
-    key, content = table.column("key").to_numpy(), table.column("content").to_numpy()
-    doc, span = table.column("doc_id").to_numpy(), table.column("span").to_numpy()
-    sizes = np.diff(starts)
-    crowd = np.repeat(sizes, sizes) > 1
-    key, content, doc, span = key[crowd], content[crowd], doc[crowd], span[crowd]
-    if not len(key):
-        return
-    order = np.lexsort((span, doc, content, key))
-    key, content, doc, span = key[order], content[order], doc[order], span[order]
-    new = np.ones(len(key), bool)  # a repeated row counts once
-    new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (doc[1:] != doc[:-1]) | (span[1:] != span[:-1])
-    key, content, doc, span = key[new], content[new], doc[new], span[new]
-    turn = np.ones(len(key), bool)
-    turn[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
-    run_start = np.append(np.flatnonzero(turn), len(key))
-    lead = run_start[:-1]  # the first occurrence of each content under each key
-    run_size = np.diff(run_start)
-    # all bands agree on equal contents, so the first band has all their occurrences
-    exact = (np.repeat(run_size, run_size) > 1) & ((key & 15) == 0)
-    crowds = np.flatnonzero(np.append(True, key[lead][1:] != key[lead][:-1])) if len(lead) else np.zeros(0, np.int64)
-    many = np.diff(np.append(crowds, len(lead)))
-    begin = span[lead] >> _SPAN
-    end = begin + (span[lead] & ((1 << _SPAN) - 1))
-    # neighbours that overlap in one text share words, and can't be alike enough
-    beside = (np.minimum.reduceat(doc[lead], crowds) == np.maximum.reduceat(doc[lead], crowds)) & (np.maximum.reduceat(begin, crowds) < np.minimum.reduceat(end, crowds))
-    mixed = lead[np.repeat((many > 1) & ~beside, many)]
-    for kind, rows in ((0, np.flatnonzero(exact)), (1, mixed)):
-        if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), *(pa.array(x[rows]) for x in (key, content, doc, span))], names=["kind", "key", "content", "doc_id", "span"])
-
-
-def alike(sets: list[bytes], one: np.ndarray, other: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether sets one[i] and other[i], bytes of rising numbers, have at least this exact Jaccard similarity."""
-    size = np.fromiter(map(len, sets), np.int64, len(sets)) // 8
-    width = int(size.max())
-    rows = np.zeros((len(sets), width), np.uint64)
-    has = np.arange(width) < size[:, None]
-    rows[has] = np.frombuffer(b"".join(sets), np.uint64)
-    both = np.concatenate([rows[one], rows[other]], axis=1)
-    # what is beyond a set's size counts as different from all
-    both[~np.concatenate([has[one], has[other]], axis=1)] = 0
+                content = textops.fold(w.hash, length)[at].view(np.int64)
+                keys = band_keys(w, at, length, shingle, bands, rows, seed)
+                beside = (_beside(keys, content, at, text, length) << np.arange(bands)).sum(axis=1, dtype=np.int64)
+                columns = [ids[a:b][text], hashes[a:b][text], w.start[at], w.end[at + length - 1], content, beside, *keys.T.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
+
+    source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text"), "text")
+    return source.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _colliding(found: DataFrame, bands: range, scratch: Scratch) -> DataFrame:
+    """(key, id): the contents that have a key of these bands in common, where not only neighbours have it.
+
+    The keys come from an aggregate that combines before the shuffle, so that
+    the paragraphs of a hot key don't meet on one task; their contents come
+    from a semi-join, by broadcast if the keys are few, else one that AQE can
+    split.
+    """
+    own = F.array(*(F.when(F.col("beside").bitwiseAND(1 << b) == 0, F.col(f"k{b}")) for b in bands))
+    single = found.select("content", F.explode(own).alias("key")).where("key IS NOT NULL")
+    keys = single.groupBy("key").agg(F.min("content").alias("least"), F.max("content").alias("most")).where("least < most").select("key")
+    keys = scratch.save(keys, "keys")
+    few = keys.count() <= FEW
+    every = found.select(F.col("content").alias("id"), F.explode(F.array(*(f"k{b}" for b in bands))).alias("key"))
+    near = scratch.save(every.join(F.broadcast(keys) if few else keys, "key", "left_semi").select("key", "id").distinct(), "near")
+    scratch.drop(keys)
+    return near
+
+
+def shingle_sets(words: np.ndarray, shingle: int) -> np.ndarray:
+    """The set of shingles of each row of word hashes: rising numbers, with 0 in place of repeats."""
+    n = words.shape[1] - shingle + 1
+    flat = textops.fold(words.reshape(-1), shingle) if len(words) else np.zeros(0, np.uint64)
+    rows = np.append(flat, np.zeros(shingle - 1, np.uint64)).reshape(len(words), -1)[:, :n]
+    rows = np.sort(np.maximum(rows, np.uint64(1)), axis=1)
+    rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = 0
+    return np.sort(rows, axis=1)
+
+
+def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the sets in rows of a and b (see shingle_sets) have at least this exact Jaccard similarity."""
+    both = np.concatenate([a, b], axis=1)
     both.sort(axis=1)
     common = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != 0)).sum(axis=1)
-    return common / (size[one] + size[other] - common) >= threshold
-
+    return common >= threshold * ((a != 0).sum(axis=1) + (b != 0).sum(axis=1) - common)
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Exact Jaccard similarity of two sets given as arrays without repeats."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
 
+def forests(starts: np.ndarray, similar) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect, in each group of rows, exactly what all its similar pairs connect.
 
-def _near_edges(mixed: DataFrame, docs: DataFrame, length: int, shingle: int, threshold: float, block: int, scratch: Scratch) -> DataFrame:
-    """Edges (u, v) between different contents that share a key and pass the exact test."""
-    entries = mixed.select("key", F.col("content").alias("id")).distinct()
-    members = scratch.save(block_members(scratch.save(entries, "near"), block), "members")
-    wanted = members.select(F.col("id").alias("content")).distinct()
-    places = mixed.groupBy("content").agg(F.min(F.struct("doc_id", "span")).alias("p")).join(wanted, "content", "left_semi").select("content", "p.doc_id", "p.span")
-    # one row of a repeated doc_id has the words; the hash of the content tells which
-    grouped = places.groupBy("doc_id").agg(F.collect_list(F.struct("content", "span")).alias("places"))
-    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(grouped, "doc_id").select("text", F.col("places.content").alias("contents"), F.col("places.span").alias("spans"))
+    similar(i, j) tests rows i against rows j one by one.  All groups go on
+    together: in each round each compares one row, a connected one if there
+    is any, with those of its rows that are not connected yet.
+    """
+    group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    rows = np.arange(len(group))
+    waiting = np.zeros(len(group), bool)  # connected, but not compared
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(rows):
+        begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        order = np.where(waiting[rows], 0, len(rows)) + np.arange(len(rows))
+        pivot = np.minimum.reduceat(order, begin) % len(rows)
+        size = np.diff(np.append(begin, len(rows)))
+        against = np.repeat(rows[pivot], size)
+        test = ~waiting[rows] & (rows != against)
+        hit = np.zeros(len(rows), bool)
+        hit[test] = similar(against[test], rows[test])
+        us.append(against[hit])
+        vs.append(rows[hit])
+        waiting[rows[hit]] = True
+        stay = rows != against
+        # a group of which no row is left to find is done
+        open_ = np.repeat(np.add.reduceat(stay & ~waiting[rows], begin) > 0, size)
+        rows, group = rows[stay & open_], group[stay & open_]
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _near_edges(members: DataFrame, firsts: DataFrame, docs: DataFrame, length: int, shingle: int, threshold: float) -> DataFrame:
+    """Edges (u, v) between different contents that share a key and pass the exact test, but for neighbours.
+
+    firsts has the first place of each content.  Contents whose first places
+    overlap in one text are neighbours: they share words there, and are no
+    copies of each other.
+    """
+    grouped = firsts.groupBy("first.doc_id", "first.h").agg(F.collect_list(F.struct("content", "first.s", "first.e")).alias("places"))
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), "text")
+    found = texts.join(grouped, ["doc_id", "h"]).select("doc_id", "h", "text", F.col("places.content").alias("contents"), F.col("places.s").alias("starts"), F.col("places.e").alias("ends"))
+    names = ["id", "doc_id", "h", "s", "e", "set"]
 
     def cut(batches):
         for batch in batches:
-            parts, contents = [], []
-            for text, cs, ss in zip(*(c.to_pylist() for c in batch.columns)):
-                parts += [text[p >> _SPAN : (p >> _SPAN) + (p & ((1 << _SPAN) - 1))] for p in ss]
-                contents += cs
+            parts, own = [], [[] for _ in range(5)]
+            for doc, h, text, *lists in zip(*(c.to_pylist() for c in batch.columns)):
+                parts += [text[a:b] for a, b in zip(*lists[1:])]
+                for k, x in enumerate((lists[0], [doc] * len(lists[0]), [h] * len(lists[0]), *lists[1:])):
+                    own[k] += x
             for a, b in textops.blocks(parts):
-                w = textops.words(parts[a:b])
-                runs, offsets = textops.shingles(w, shingle)
-                whole = np.flatnonzero(np.diff(w.first) == length)
-                own = textops.fold(w.hash, length)[w.first[whole]].view(np.int64)
-                right = own == np.array(contents[a:b], np.int64)[whole]
-                sets = [np.unique(runs[offsets[i] : offsets[i + 1]]).tobytes() for i in whole[right].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(own[right]), pa.array(sets, pa.binary())], names=["id", "set"])
+                sets = shingle_sets(textops.words(parts[a:b]).hash.reshape(b - a, length), shingle)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[a:b], pa.int64()) for x in own), pa.array([r.tobytes() for r in sets], pa.binary())], names=names)
 
-    sets = found.mapInArrow(cut, "id long, set binary").dropDuplicates(["id"])
+    # a row of docs that is there twice has each set twice
+    sets = found.mapInArrow(cut, "id long, doc_id long, h long, s long, e long, set binary").dropDuplicates(["id"])
 
     def compare(table):
-        starts, ids = group_starts(table, ["key", "i", "j"]), table.column("id").to_numpy()
-        raw = table.column("set").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in raw]
-        two = starts[:-1][np.diff(starts) == 2]
-        two = two[alike(raw, two, two + 1, threshold)]
-        us, vs = ids[two].tolist(), ids[two + 1].tolist()
-        many = np.diff(starts) > 2
-        for s, e in zip(starts[:-1][many].tolist(), starts[1:][many].tolist()):
-            for i, j in forest(e - s, lambda i, others: np.array([jaccard(sets[s + i], sets[s + o]) >= threshold for o in others.tolist()], bool)):
-                us.append(int(ids[s + i]))
-                vs.append(int(ids[s + j]))
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-    return by_group(members.join(sets, "id").select("key", "i", "j", "id", "set"), ["key", "i", "j"], compare, "u long, v long")
-
-
-def occurrences(docs: DataFrame, scratch: Scratch, length: int = LENGTH, reach: int = REACH, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """(cluster, doc_id, span, first_doc, removed, other): each paragraph that another one repeats.
-
-    first_doc is the document of the cluster's first occurrence by doc_id and
-    place; all other occurrences are removed.  other is the (doc_id, span) of
-    the first occurrence, or of the last one for the first itself.
+        starts = group_starts(table, ["key", "i", "j"])
+        ids, doc, h, s, e = (table.column(c).to_numpy() for c in names[:-1])
+        sets = np.frombuffer(b"".join(table.column("set").to_pylist()), np.uint64).reshape(len(ids), -1)
+
+        def similar(i, j):
+            out = ~((doc[i] == doc[j]) & (h[i] == h[j]) & (s[i] < e[j]) & (s[j] < e[i]))
+            for a in range(0, len(i), 1 << 16):
+                out[a : a + (1 << 16)] &= alike(sets[i[a : a + (1 << 16)]], sets[j[a : a + (1 << 16)]], threshold)
+            return out
+
+        u, v = forests(starts, similar)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
+
+    return by_group(members.join(sets, "id").select("key", "i", "j", *names), ["key", "i", "j"], compare, "u long, v long")
+
+
+def occurrences(docs: DataFrame, scratch: Scratch, length: int = LENGTH, window: int = WINDOW, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """(cluster, doc_id, h, s, e, removed, head, other, exact): each paragraph that another one repeats.
+
+    head is the cluster's first occurrence by (doc_id, h, s, e); all others are
+    removed.  other is the first occurrence of the same words, or the last one
+    for the first itself; of the cluster where none has the same words, which
+    exact tells.
     """
-    if bands > 16:
-        raise ValueError("a key has room for 16 bands")
+    # keys have no value twice
+    found = scratch.save(_scanned(docs, length, window, shingle, bands, rows, seed), "paragraphs", **{"parquet.enable.dictionary": "false"})
     # a few bands at a time, so that their shuffles are not on disk together
-    waves = [_banded(docs, length, reach, shingle, range(b, min(b + WAVE, bands)), rows, seed) for b in range(0, bands, WAVE)]
-    saved = []
-    for wave in waves:
-        saved.append(scratch.save(by_group(wave, ["key"], _collisions, "kind int, key long, content long, doc_id long, span long"), "hits"))
-        scratch.spark.sparkContext._jvm.System.gc()  # Spark deletes a shuffle once the driver has collected it
-    hits = reduce(DataFrame.unionAll, saved)
-    mixed = hits.where("kind = 1")
-    edges = _near_edges(mixed, docs, length, shingle, threshold, block, scratch)
-    clusters = scratch.save(components(edges, scratch), "clusters")
-    exact = hits.where("kind = 0").select("content", "doc_id", "span")
-    near = mixed.select("content", "doc_id", "span").distinct().join(clusters.select(F.col("node").alias("content")), "content", "left_semi")
-    every = exact.union(near).distinct().join(clusters, F.col("content") == F.col("node"), "left")
-    every = every.select(F.coalesce("component", "content").alias("cluster"), "doc_id", "span")
+    entries = [_colliding(found, range(b, min(b + WAVE, bands)), scratch) for b in range(0, bands, WAVE)]
+    places = scratch.save(found.select("doc_id", "h", "s", "e", "content"), "places")
+    scratch.drop(found)
+    members = scratch.save(block_members(reduce(DataFrame.unionAll, entries), block), "members")
+    for one in entries:
+        scratch.drop(one)
+    place = F.struct("doc_id", "h", "s", "e")
+    firsts = places.groupBy("content").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    wanted = members.select(F.col("id").alias("content")).distinct().withColumn("near", F.lit(True))
+    firsts = scratch.save(firsts.join(wanted, "content", "left").where("first < last OR near"), "firsts")
+    edges = scratch.save(_near_edges(members, firsts.where("near"), docs, length, shingle, threshold), "alike")
+    clusters = components(edges, scratch).select(F.col("node").alias("content"), F.col("component").alias("cluster"))
+    repeated = firsts.where("first < last").select("content", "first", "last")
+    repeated = scratch.save(repeated.join(clusters, "content", "full").select("content", F.coalesce("cluster", "content").alias("cluster"), "first", "last"), "clusters")
+    every = scratch.save(places.join(repeated, "content").select("cluster", "first", "last", "doc_id", "h", "s", "e").distinct(), "places")
+    scratch.drop(places)
     # the first occurrence comes from an aggregate, not a window, so that no task holds a whole cluster
-    heads = every.groupBy("cluster").agg(F.min(F.struct("doc_id", "span")).alias("head"), F.max(F.struct("doc_id", "span")).alias("tail"), F.count("*").alias("n")).where("n > 1")
-    joined = every.join(heads, "cluster")
-    removed = F.struct("doc_id", "span") != F.col("head")
-    return joined.select("cluster", "doc_id", "span", F.col("head.doc_id").alias("first_doc"), removed.alias("removed"), F.when(removed, F.col("head")).otherwise(F.col("tail")).alias("other"))
+    heads = every.groupBy("cluster").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head < tail")
+    removed = place != F.col("head")
+    equal = F.when(place != F.col("first"), F.col("first")).otherwise(F.col("last"))
+    other = F.coalesce(equal, F.when(removed, F.col("head")).otherwise(F.col("tail")))
+    return every.join(heads, "cluster").select("cluster", "doc_id", "h", "s", "e", removed.alias("removed"), "head", other.alias("other"), F.col("first").isNotNull().alias("exact"))
 
 
 def _merged(spans: DataFrame) -> DataFrame:
-    """Overlapping spans (doc_id, removed, s, e) of a document that are alike removed or kept get the same part."""
-    order = Window.partitionBy("doc_id", "removed").orderBy("s", "e")
+    """Overlapping spans (doc_id, h, removed, s, e) of a text that are alike removed or kept get the same part."""
+    order = Window.partitionBy("doc_id", "h", "removed").orderBy("s", "e")
     before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     part = F.sum(F.when(before >= F.col("s"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return spans.withColumn("part", part)
 
 
-def _around(asked: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(doc, side, pos, near): the ``words`` words before (side 0) or from (side 1) each place (doc, side, pos).
+def _beyond(texts: list[str], at: list[int], sides: list[int], words: int) -> list[str]:
+    """The ``words`` words before (side 0) or from (side 1) a place of each text, or all that there are."""
+    out, reach, open_ = [""] * len(texts), 12 * words, list(range(len(texts)))
+    while open_:
+        parts = [texts[i][at[i] : at[i] + reach] if sides[i] else texts[i][max(0, at[i] - reach) : at[i]] for i in open_]
+        again = []
+        for a, b in textops.blocks(parts):
+            w = textops.words(parts[a:b])
+            for i, part, lo, hi in zip(open_[a:b], parts[a:b], w.first[:-1].tolist(), w.first[1:].tolist()):
+                # the farthest word may be cut
+                if hi - lo > words:
+                    out[i] = part[: w.end[lo + words - 1]] if sides[i] else part[w.start[hi - words] :]
+                elif reach >= len(texts[i]):
+                    out[i] = part
+                else:
+                    again.append(i)
+        open_, reach = again, reach * 4
+    return out
 
-    Places where rows of a repeated doc_id differ are left out.
-    """
-    grouped = asked.distinct().groupBy("doc").agg(F.collect_list(F.struct("side", "pos")).alias("places"))
-    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(grouped, F.col("doc_id") == F.col("doc")).select("doc", "text", F.col("places.side").alias("sides"), F.col("places.pos").alias("at"))
+
+def _around(asked: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(doc, h, side, pos, near): the ``words`` words before (side 0) or from (side 1) each place (doc, h, side, pos)."""
+    grouped = asked.distinct().groupBy("doc", "h").agg(F.collect_list(F.struct("side", "pos")).alias("places"))
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("h"), "text")
+    found = texts.join(grouped, ["doc", "h"]).select("doc", "h", "text", F.col("places.side").alias("sides"), F.col("places.pos").alias("at"))
+    names = ["doc", "h", "side", "pos", "near"]
 
     def run(batches):
         for batch in batches:
-            for doc, text, sides, at in zip(*(c.to_pylist() for c in batch.columns)):
-                out = []
-                for side, pos in zip(sides, at):
-                    reach = 12 * words
-                    while True:
-                        part = text[pos : pos + reach] if side else text[max(0, pos - reach) : pos]
-                        w = textops.words([part])
-                        # the farthest word may be cut
-                        if len(w.hash) > words or reach >= len(text):
-                            break
-                        reach *= 2
-                    if len(w.hash) > words:
-                        part = part[: w.end[words - 1]] if side else part[w.start[-words] :]
-                    out.append(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), doc)), pa.array(sides, pa.int32()), pa.array(at, pa.int64()), pa.array(out, pa.string())], names=["doc", "side", "pos", "near"])
-
-    near = found.mapInArrow(run, "doc long, side int, pos long, near string")
-    return near.groupBy("doc", "side", "pos").agg(F.min("near").alias("near"), F.max("near").alias("last")).where("near = last").drop("last")
+            docs, hashes, texts, sides, at = [], [], [], [], []
+            for d, h, text, s, p in zip(*(c.to_pylist() for c in batch.columns)):
+                docs += [d] * len(s)
+                hashes += [h] * len(s)
+                texts += [text] * len(s)
+                sides += s
+                at += p
+            near = _beyond(texts, at, sides, words)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((docs, hashes, sides, at, near), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()))], names=names)
+
+    near = found.mapInArrow(run, "doc long, h long, side int, pos long, near string")
+    # a row of docs that is there twice has each place twice
+    return near.dropDuplicates(["doc", "h", "side", "pos"])
 
 
 def _agreeing(batches):
@@ -312,63 +362,76 @@ def _agreeing(batches):
             for i in range(b - a):
                 x, y = w.hash[w.first[i] : w.first[i + 1]], o.hash[o.first[i] : o.first[i + 1]]
                 n = min(len(x), len(y))
+                if not n:
+                    continue
                 if sides[a + i]:
-                    differ = np.flatnonzero(x[:n] != y[:n])
-                    n = int(differ[0]) if len(differ) else n
+                    differ = x[:n] != y[:n]
+                    n = int(differ.argmax()) if differ.any() else n
                     more[a + i] = w.end[w.first[i] + n - 1] if n else 0
                 else:
-                    differ = np.flatnonzero(x[len(x) - n :][::-1] != y[len(y) - n :][::-1])
-                    n = int(differ[0]) if len(differ) else n
+                    differ = (x[len(x) - n :] != y[len(y) - n :])[::-1]
+                    n = int(differ.argmax()) if differ.any() else n
                     more[a + i] = len(own[a + i]) - w.start[w.first[i + 1] - n] if n else 0
-        names = ["doc_id", "removed", "part", "side", "pos", "first_doc"]
+        names = ["doc_id", "h", "removed", "part", "side", "outer", "pos", "first_doc"]
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(more)], names=[*names, "more"])
 
 
-def _passages(found: DataFrame, docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
-    """(doc_id, removed, first_doc, start_char, end_char): paragraphs in a row as one passage, whose ends go as far as texts agree.
+def _passages(found: DataFrame, docs: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+    """(doc_id, h, removed, first_doc, start_char, end_char): paragraphs in a row as one passage, whose ends go as far as texts agree.
 
-    An end is compared with its paragraph's other occurrence.  Texts that agree
-    over 2 * length more words have another paragraph there in common, with
-    ends of its own.
+    An end is compared with the other occurrence of its outermost paragraph,
+    of those with equal words if there are any.  Texts that agree over
+    ``window`` more words have another paragraph there in common, with ends of
+    its own.
     """
-    begin, past = (lambda c: F.shiftright(c, _SPAN)), (lambda c: F.shiftright(c, _SPAN) + F.col(c).bitwiseAND((1 << _SPAN) - 1))
-    spans = found.select("doc_id", "removed", "first_doc", begin("span").alias("s"), past("span").alias("e"), F.col("other.doc_id").alias("doc"), begin("other.span").alias("os"), past("other.span").alias("oe"))
-    ends = _merged(spans).groupBy("doc_id", "removed", "part").agg(F.min(F.struct("s", "doc", "os")).alias("l"), F.max(F.struct("e", "doc", "oe")).alias("r"), F.min("first_doc").alias("first_doc"))
-    side = lambda k, c, p, o: F.struct(F.lit(k).alias("side"), F.col(f"{c}.{p}").alias("pos"), F.col(f"{c}.doc").alias("other_doc"), F.col(f"{c}.{o}").alias("other_pos"))
-    sides = ends.select("doc_id", "removed", "part", "first_doc", F.explode(F.array(side(0, "l", "s", "os"), side(1, "r", "e", "oe"))).alias("x")).select("doc_id", "removed", "part", "first_doc", "x.*")
+    text = ["doc_id", "h", "removed"]
+    # the smallest and the largest order equal paragraphs before and behind others
+    left, right = F.struct(~F.col("exact"), "s", "other"), F.struct("exact", "e", "other")
+    ends = _merged(found.select(*text, "s", "e", "head", "other", "exact")).groupBy(*text, "part").agg(F.min(left).alias("l"), F.max(right).alias("r"), F.min("s").alias("s"), F.max("e").alias("e"), F.min("head.doc_id").alias("first_doc"))
+    side = lambda k, c, p: F.struct(F.lit(k).alias("side"), F.col(p).alias("outer"), F.col(f"{c}.{p}").alias("pos"), F.col(f"{c}.other.doc_id").alias("other_doc"), F.col(f"{c}.other.h").alias("other_h"), F.col(f"{c}.other.{p}").alias("other_pos"))
+    sides = ends.select(*text, "part", "first_doc", F.explode(F.array(side(0, "l", "s"), side(1, "r", "e"))).alias("x")).select(*text, "part", "first_doc", "x.*")
     sides = scratch.save(sides, "sides")
-    asked = sides.select(F.col("doc_id").alias("doc"), "side", "pos").union(sides.select("other_doc", "side", "other_pos"))
-    near = scratch.save(_around(asked, docs, 2 * length), "around")
+    asked = sides.select(F.col("doc_id").alias("doc"), "h", "side", "pos").union(sides.select("other_doc", "other_h", "side", "other_pos"))
+    near = scratch.save(_around(asked, docs, window), "around")
     own = near.withColumnRenamed("doc", "doc_id")
-    other = near.select(F.col("doc").alias("other_doc"), "side", F.col("pos").alias("other_pos"), F.col("near").alias("other_near"))
-    both = sides.join(own, ["doc_id", "side", "pos"], "left").join(other, ["other_doc", "side", "other_pos"], "left")
-    grown = both.select("doc_id", "removed", "part", "side", "pos", "first_doc", "near", "other_near").mapInArrow(_agreeing, "doc_id long, removed boolean, part long, side int, pos long, first_doc long, more long")
-    whole = grown.groupBy("doc_id", "removed", "part").agg(F.min(F.when(F.col("side") == 0, F.col("pos") - F.col("more"))).alias("s"), F.max(F.when(F.col("side") == 1, F.col("pos") + F.col("more"))).alias("e"), F.min("first_doc").alias("first_doc"))
-    return _merged(whole.drop("part")).groupBy("doc_id", "removed", "part").agg(F.min("s").alias("start_char"), F.max("e").alias("end_char"), F.min("first_doc").alias("first_doc")).drop("part")
+    other = near.select(F.col("doc").alias("other_doc"), F.col("h").alias("other_h"), "side", F.col("pos").alias("other_pos"), F.col("near").alias("other_near"))
+    both = sides.join(own, ["doc_id", "h", "side", "pos"], "left").join(other, ["other_doc", "other_h", "side", "other_pos"], "left")
+    grown = both.select(*text, "part", "side", "outer", "pos", "first_doc", "near", "other_near").mapInArrow(_agreeing, "doc_id long, h long, removed boolean, part long, side int, outer long, pos long, first_doc long, more long")
+    begin = F.min(F.when(F.col("side") == 0, F.least("outer", F.col("pos") - F.col("more"))))
+    end = F.max(F.when(F.col("side") == 1, F.greatest("outer", F.col("pos") + F.col("more"))))
+    whole = grown.groupBy(*text, "part").agg(begin.alias("s"), end.alias("e"), F.min("first_doc").alias("first_doc"))
+    return _merged(whole.drop("part")).groupBy(*text, "part").agg(F.min("s").alias("start_char"), F.max("e").alias("end_char"), F.min("first_doc").alias("first_doc")).drop("part")
+
+
+def _found(docs: DataFrame, scratch: Scratch, **parameters) -> DataFrame:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _passages(scratch.save(occurrences(docs, scratch, **parameters), "occurrences"), docs, scratch, parameters.get("window", WINDOW))
 
 
 def repeated_passages(docs: DataFrame, scratch: Scratch, **parameters) -> DataFrame:
     """(doc_id, start_char, end_char, first_doc, removed): all passages that repeat.
 
-    Paragraphs of ``length`` words start at anchors about every 2 * reach + 1
-    words (textops has what a word is), and in loops of a few words too (see
-    anchors); each gives ``bands`` keys of ``rows``
-    minima over its shingles.  Paragraphs that share a key are compared (but
-    not neighbours that overlap in one text, which share part of their words):
-    equal ones repeat, others if the exact Jaccard similarity of their
-    shingles is at least ``threshold``.  Clusters are connected components.
-    The first occurrence by (doc_id, place) stays, all others are removed,
+    Paragraphs of ``length`` words start at one of any ``window`` successive
+    words (textops has what a word is, anchors how it is chosen), so passages
+    of length + window - 1 equal words have one in common.  Each gives
+    ``bands`` keys of ``rows`` minima over its shingles, by default enough
+    for 0.96 of the pairs at the threshold (see recall).  Paragraphs that
+    share a key are compared (but not those that overlap in one text): equal
+    ones repeat, others if the exact Jaccard similarity of their shingles is
+    at least ``threshold``.  Clusters are connected components.  The first
+    occurrence by (doc_id, text's hash, place) stays, all others are removed,
     in the same document too.  Overlapping paragraphs are merged, and both
-    ends go on word by word while the texts agree: a row covers text[start_char:end_char], and first_doc is the least doc_id that
-    keeps a copy of a part of it.
+    ends go on word by word while the texts agree: a row covers
+    text[start_char:end_char], and first_doc is the least doc_id that keeps a
+    copy of a part of it.
 
     Rows with a null doc_id or text, and texts of fewer than ``length`` words,
-    have no passages.  Rows that repeat a doc_id with the same text count as
-    one document; with other texts, all their passages count as that
-    document's.  Other columns are ignored.  No documents, no rows.
+    have no passages; nor have repeats shorter than that.  Rows that repeat a
+    doc_id with the same text count as one document; rows with different texts
+    are documents of their own.  Texts and words of any length are read whole.
+    Other columns are ignored.  No documents, no rows.
     """
-    found = occurrences(docs, scratch, **parameters)
-    return _passages(found, docs, scratch, parameters.get("length", LENGTH)).select("doc_id", F.col("start_char").cast("long"), F.col("end_char").cast("long"), "first_doc", "removed")
+    return _found(docs, scratch, **parameters).select("doc_id", "start_char", "end_char", "first_doc", "removed")
 
 
 def cut_passages(docs: DataFrame, scratch: Scratch, **parameters) -> DataFrame:
@@ -378,10 +441,10 @@ def cut_passages(docs: DataFrame, scratch: Scratch, **parameters) -> DataFrame:
     the passages, possibly nothing.  Rows without passages keep their text as
     it is, null included.  Edge cases: repeated_passages.
     """
-    gone = scratch.save(repeated_passages(docs, scratch, **parameters).where("removed").select("doc_id", "start_char", "end_char"), "removed")
-    key, column = unique_name(docs, "cut_id"), unique_name(docs, "cut_spans")
-    spans = gone.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias(column))
-    joined = docs.join(spans, docs["doc_id"] == F.col(key), "left")
+    gone = scratch.save(_found(docs, scratch, **parameters).where("removed").select("doc_id", "h", "start_char", "end_char"), "removed")
+    key, text_hash, column = (unique_name(docs, k) for k in ("cut_id", "cut_hash", "cut_spans"))
+    spans = gone.groupBy(F.col("doc_id").alias(key), F.col("h").alias(text_hash)).agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias(column))
+    joined = docs.join(spans, (docs["doc_id"] == F.col(key)) & (F.xxhash64(docs["text"]) == F.col(text_hash)), "left")
     # text from the end of each removed passage to the start of the next
     kept = F.expr(
         f"array_join(transform(sequence(0, size(`{column}`)), i -> substring(text, "
