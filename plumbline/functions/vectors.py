@@ -37,6 +37,15 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.divide(dot, scale, out=np.zeros_like(dot), where=scale != 0)
 
 
+def cosine_rows(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The same for rows i of x with rows j of y, one by one; nx and ny are their norms."""
+    dot = np.zeros(len(i))
+    for d in range(x.shape[1]):
+        dot += x[i, d] * y[j, d]
+    scale = nx[i] * ny[j]
+    return np.divide(dot, scale, out=np.zeros_like(dot), where=scale != 0)
+
+
 def matrix(column, dimension: int) -> np.ndarray:
     """Rows of doubles of an Arrow list column without nulls."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import cosines, matrix
+from ..functions.vectors import cosine_rows, matrix, norms
 
 #: Bytes of query vectors that one pass has on each executor; more queries take more passes.
 BLOCK_BYTES = 32 << 20
+TILE = 4 << 20  # scores that are held at once
 
 
 def _best(scores: np.ndarray, cids: np.ndarray, k: int) -> np.ndarray:
@@ -30,6 +31,43 @@ def _best(scores: np.ndarray, cids: np.ndarray, k: int) -> np.ndarray:
     return np.array(order[:k], np.int64)
 
 
+def winners(cids: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of y, rows of x and scores of the k rows of x of highest cosine for each row of y, best first, ties by canonical id.
+
+    A matrix product finds what can be among the best, up to its rounding;
+    only that is scored in the order of the components, which alone decides.
+    """
+    nothing = np.zeros(0, np.int64)
+    if not len(x) or not len(y) or k <= 0:
+        return nothing, nothing, np.zeros(0)
+    place = np.empty(len(cids), np.int64)
+    place[np.argsort(cids, kind="stable")] = np.arange(len(cids))
+    nx, ny = norms(x), norms(y)
+    unit = lambda v, n: np.divide(v, n[:, None], out=np.zeros_like(v), where=n[:, None] != 0)
+    ux, uy = unit(x, nx), unit(y, ny)
+    # more than a sum of so many products and its factors can be off
+    slack = 8 * (x.shape[1] + 8) * np.finfo(float).eps
+    step = max(1, TILE // len(x))
+    qs, rows, scores = [], [], []
+    for a in range(0, len(y), step):
+        near = uy[a : a + step] @ ux.T
+        if len(x) > k:
+            least = np.partition(near, len(x) - k, axis=1)[:, len(x) - k]
+            q, r = np.nonzero(near >= (least - slack)[:, None])
+        else:
+            q, r = (i.ravel() for i in np.indices(near.shape))
+        q = q + a
+        s = cosine_rows(x, nx, y, ny, r, q)
+        order = np.lexsort((place[r], -s, q))
+        q, r, s = q[order], r[order], s[order]
+        first = np.searchsorted(q, q)
+        best = np.arange(len(q)) - first < k
+        qs.append(q[best])
+        rows.append(r[best])
+        scores.append(s[best])
+    return np.concatenate(qs), np.concatenate(rows), np.concatenate(scores)
+
+
 def _blocks(qids: list, vectors: list[list[float]]):
     step = max(1, BLOCK_BYTES // (8 * max(1, len(vectors[0]) if vectors else 1)))
     for a in range(0, len(qids), step):
@@ -43,31 +81,27 @@ def top_k(points: DataFrame, qids: list[int], vectors: list[list[float]], k: int
     points' dimension.  Scores rank as doubles, ties go by canonical id.
     """
     spark = points.sparkSession
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
     parts = []
     for ids, matrix_ in _blocks(qids, vectors) if k > 0 else ():
         shared = spark.sparkContext.broadcast((ids, matrix_))
 
         def run(batches, shared=shared):
             ids, queries = shared.value
-            held = None
+            # the best so far: query, id, vector and score
+            hq, hc, hs = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 cids = np.array(batch.column(0).to_pylist(), object)
-                scores = cosines(matrix(batch.column(1), queries.shape[1]), queries)
-                if held is None:
-                    held = [(np.zeros(0), np.zeros(0, object))] * len(ids)
-                for q in range(len(ids)):
-                    best = _best(scores[:, q], cids, k)
-                    s, c = np.concatenate([held[q][0], scores[best, q]]), np.concatenate([held[q][1], cids[best]])
-                    keep = _best(s, c, k)
-                    held[q] = s[keep], c[keep]
-            if held:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array(ids, np.int64), [len(s) for s, _ in held])), pa.array(np.concatenate([c for _, c in held]).tolist(), pa.binary()), pa.array(np.concatenate([s for s, _ in held]))],
-                    names=["qid", "cid", "score"],
-                )
+                q, r, s = winners(cids, matrix(batch.column(1), queries.shape[1]), queries, k)
+                hq, hc, hs = np.concatenate([hq, q]), np.concatenate([hc, cids[r]]), np.concatenate([hs, s])
+                place = np.empty(len(hc), np.int64)
+                place[np.argsort(hc, kind="stable")] = np.arange(len(hc))
+                order = np.lexsort((place, -hs, hq))
+                best = order[np.arange(len(order)) - np.searchsorted(hq[order], hq[order]) < k]
+                hq, hc, hs = hq[best], hc[best], hs[best]
+            if len(hq):
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[hq]), pa.array(hc.tolist(), pa.binary()), pa.array(hs)], names=["qid", "cid", "score"])
 
         parts.append(points.select("cid", "vector").mapInArrow(run, "qid long, cid binary, score double"))
     if not parts:
@@ -75,7 +109,7 @@ def top_k(points: DataFrame, qids: list[int], vectors: list[list[float]], k: int
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "cid", "score")
+    return _ranked(every, k)
 
 
 def _blocked(left: pa.Table, right: pa.Table, k: int) -> pa.RecordBatch:
@@ -86,13 +120,8 @@ def _blocked(left: pa.Table, right: pa.Table, k: int) -> pa.RecordBatch:
     cids = np.array(left.column("cid").to_pylist(), object)
     dimension = len(left.column("vector")[0])
     x, y = (matrix(t.column("vector").combine_chunks(), dimension) for t in (left, right))
-    qids, out = right.column("qid").to_numpy(), []
-    for a in range(0, len(y), 256):
-        scores = cosines(x, y[a : a + 256])
-        for q in range(scores.shape[1]):
-            best = _best(scores[:, q], cids, k)
-            out.append((np.full(len(best), qids[a + q]), cids[best], scores[best, q]))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out]).tolist(), pa.binary()), pa.array(np.concatenate([o[2] for o in out]))], names=names)
+    q, r, s = winners(cids, x, y, k)
+    return pa.RecordBatch.from_arrays([pa.array(right.column("qid").to_numpy()[q]), pa.array(cids[r].tolist(), pa.binary()), pa.array(s)], names=names)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -100,14 +129,30 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "cid", "score")
 
 
-def top_k_join(points: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def grid(points: int, queries: int, slots: int, block: int) -> tuple[int, int]:
+    """Into how many blocks points and queries are cut: at most ``block`` rows each, and work for all slots.
+
+    Points go along once for each block of queries and the other way round, so
+    the side of larger blocks is cut first.
+    """
+    i, j = max(1, -(-points // block)), max(1, -(-queries // block))
+    while i * j < slots and max(points / i, queries / j) > 64:
+        if points / i >= queries / j:
+            i += 1
+        else:
+            j += 1
+    return i, j
+
+
+def top_k_join(points: DataFrame, queries: DataFrame, k: int, block: int = 16384) -> DataFrame:
     """(qid, rank, cid, score) for a table of queries (qid: long, vector), of any size.
 
     Both sides are cut into blocks by a hash, and each pair of blocks is one
-    group, so that no task and no driver holds more than two blocks.  Equal to
-    top_k, which suits queries few enough for the driver.
+    group, so that no task and no driver holds more than two blocks; of each
+    group only winners go on.  Equal to top_k, which suits queries few enough
+    for the driver.
     """
-    i, j = max(1, -(-points.count() // block)), max(1, -(-queries.count() // block))
+    i, j = grid(points.count(), queries.count(), points.sparkSession.sparkContext.defaultParallelism, block)
     own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = points.select(own("cid", i).alias("i"), each(j).alias("j"), "cid", "vector")
