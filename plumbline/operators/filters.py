@@ -8,7 +8,6 @@ scalars only with their own kind.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterable, Mapping
 from typing import Any
 
@@ -16,12 +15,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import Invalid
+from ..functions.patterns import check_pattern, java_pattern
 from ..model import Condition, Filter, Range, canonical_id
 
 _NUMBER = "^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|DOUBLE|FLOAT)"
-#: Look-around, references and other constructs beyond regular languages.
-_BEYOND = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k<|\(\?\(|\(\?R\)|[*+?}]\+")
-
 
 def check(f: Filter) -> None:
     """Refuse a filter that can't mean anything, before any plan is made."""
@@ -48,12 +45,7 @@ def check(f: Filter) -> None:
             if not c.value:
                 raise Invalid("a substring has at least one character")
         elif c.kind == "document_regex":
-            try:
-                re.compile(c.value)
-            except (re.error, TypeError) as error:
-                raise Invalid(f"regular expression: {error}") from None
-            if _BEYOND.search(c.value):
-                raise Invalid("a regular expression has no look-around, references or possessive repeats")
+            check_pattern(c.value)
         elif c.kind == "has_id":
             if not c.value:
                 raise Invalid("a list of ids has at least one")
@@ -125,7 +117,7 @@ def _condition(c: Condition, v: Column, cid: Column) -> Column:
     if c.kind in ("document_contains", "document_regex"):
         document = F.variant_get(v, '$["document"]', "variant")
         text = F.when(_kind(document) == "STRING", F.try_variant_get(document, "$", "string"))
-        return _false(text.contains(F.lit(c.value)) if c.kind == "document_contains" else text.rlike("(?U)" + c.value))
+        return _false(text.contains(F.lit(c.value)) if c.kind == "document_contains" else text.rlike(java_pattern(c.value)))
     x = F.try_variant_get(v, _json_path(c.key), "variant")
     if c.kind == "exists":
         return x.isNotNull()
