@@ -337,8 +337,9 @@ class Mutation:
         return cls("upsert", (points,) if isinstance(points, Point) else points)
 
     @classmethod
-    def delete_ids(cls, ids: Iterable[PointId]) -> Mutation:
-        return cls("delete_ids", tuple(ids))
+    def delete_ids(cls, ids: Any) -> Mutation:
+        """ids one by one, or a table with a column cid of their canonical bytes."""
+        return cls("delete_ids", ids if hasattr(ids, "schema") else tuple(ids))
 
     @classmethod
     def delete_filter(cls, filter: Filter) -> Mutation:

@@ -55,14 +55,19 @@ def canonical_text(c: Column) -> Column:
 
 def check(points: DataFrame, dimension: int) -> int:
     """Number of points, after one aggregate has seen that all of them are valid and no id comes twice."""
+    return check_and_place(points, dimension)[0]
+
+
+def check_and_place(points: DataFrame, dimension: int) -> tuple[int, set[int]]:
+    """The same, and the shards of the ids, of which there are few."""
     good = F.expr(f"cid IS NOT NULL AND payload IS NOT NULL AND vector IS NOT NULL AND size(vector) = {dimension} AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
     per_id = points.groupBy("cid").agg(F.count("*").alias("n"), F.count_if(~F.coalesce(good, F.lit(False))).alias("bad"))
-    r = per_id.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count_if(F.col("n") > 1).alias("twice")).first()
+    r = per_id.withColumn("shard", shard(digest(F.col("cid")))).agg(F.collect_set("shard").alias("shards"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count_if(F.col("n") > 1).alias("twice")).first()
     if r["bad"]:
         raise Invalid(f"{r['bad']} points have no id, no payload object, or a vector that isn't of {dimension} finite components")
     if r["twice"]:
         raise Invalid(f"{r['twice']} ids come more than once in a batch")
-    return int(r["n"])
+    return int(r["n"]), set(r["shards"])
 
 
 def with_place(points: DataFrame) -> DataFrame:

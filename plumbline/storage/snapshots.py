@@ -29,6 +29,7 @@ from ..sources import points as tables
 from .files import Files, canonical
 
 FORMAT = 2
+FILE_ROWS = 1 << 20  # rows of a shard's file, about
 COLUMNS = ["cid", "vector", "payload", "digest", "shard", "centroid"]
 _STORED = "cid binary, vector array<float>, payload string, digest string, centroid int, shard int"
 
@@ -41,10 +42,20 @@ def _row_hash() -> Column:
     return F.sha2(F.concat_ws("\x1f", F.hex("cid"), vector, F.octet_length("payload").cast("string"), "payload"), 256)
 
 
-def shard_sums(points: DataFrame) -> DataFrame:
-    """(shard, n, a, b, c, d): rows and four sums of 60-bit parts of row hashes, combined before the shuffle."""
-    parts = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string").alias(x) for i, x in enumerate("abcd")]
-    return points.select("shard", _row_hash().alias("h")).groupBy("shard").agg(F.count("*").alias("n"), *parts)
+def sums(points: DataFrame) -> tuple[dict[int, tuple[int, list[str]]], dict[int, int]]:
+    """By shard: rows and four sums of 60-bit parts of row hashes; by list: rows.  One pass, combined before the shuffle.
+
+    The driver gets a row for each shard and list that occur together, at most
+    64 times ivf.MOST of them.
+    """
+    parts = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).alias(x) for i, x in enumerate("abcd")]
+    shards: dict[int, tuple[int, list[int]]] = {}
+    lists: dict[int, int] = {}
+    for r in points.select("shard", "centroid", _row_hash().alias("h")).groupBy("shard", "centroid").agg(F.count("*").alias("n"), *parts).collect():
+        n, own = shards.get(r["shard"], (0, [0, 0, 0, 0]))
+        shards[r["shard"]] = n + r["n"], [x + int(r[k]) for x, k in zip(own, "abcd")]
+        lists[r["centroid"]] = lists.get(r["centroid"], 0) + r["n"]
+    return {s: (n, list(map(str, own))) for s, (n, own) in shards.items()}, lists
 
 
 def _config_json(config: CollectionConfig) -> dict:
@@ -190,14 +201,21 @@ class Snapshot:
         return found, [QueryStats("approximate", n, by[q]["visited"], by[q]["discovered"], by[q]["scored"], by[q]["probes"], by[q]["limit"]) for q in qids]
 
     def query_table(self, queries: DataFrame, k: int, f: Filter | None = None, exact: bool = True, probes: int = 0) -> DataFrame:
-        """(qid, rank, cid, score) for a table of queries (qid: long, vector)."""
-        rows = queries.select("qid", "vector").orderBy("qid").collect()
-        vectors = [check_vector(r["vector"], self.config.dimension) for r in rows]
-        from ..model import QueryParams
+        """(qid, rank, cid, score) for a table of queries (qid: long, vector) of any size, which stays on the executors.
 
-        found, _ = self._ranked(vectors, k, f, "exact" if exact else "approximate", QueryParams(exact, probes))
-        names = self.spark.createDataFrame([(i, r["qid"]) for i, r in enumerate(rows)], "qid long, name long")
-        return found.join(F.broadcast(names), "qid").select(F.col("name").alias("qid"), "rank", "cid", "score")
+        An approximate search reads whole lists: those that are closest, all
+        of them with a filter unless ``probes`` says otherwise.  A candidate
+        limit is a matter of single queries.
+        """
+        rows = queries.select("qid", "vector")
+        good = F.expr(f"vector IS NOT NULL AND size(vector) = {self.config.dimension} AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
+        if bad := rows.where(~F.coalesce(good, F.lit(False))).count():
+            raise Invalid(f"{bad} queries have no vector of {self.config.dimension} finite components")
+        points = self._table() if f is None else self._table().where(filters.predicate(f))
+        if exact:
+            return search.top_k_join(points, rows, k)
+        centroids = self.centroids()
+        return ivf.search_join(points, rows, centroids, k, probes or (len(centroids) if f else self.config.index.default_probes))
 
     # comparing and checking
 
@@ -238,7 +256,8 @@ class Snapshot:
         try:
             table = self._table()
             total = tables.check(table.select("cid", "vector", "payload"), self.config.dimension)
-            actual = {str(r["shard"]): (r["n"], [r[x] for x in "abcd"]) for r in shard_sums(tables.with_place(table)).collect()}
+            found, lists = sums(tables.with_place(table))
+            actual = {str(s): v for s, v in found.items()}
         except Invalid as error:
             raise Corrupt(str(error)) from None
         except Exception as error:
@@ -248,7 +267,7 @@ class Snapshot:
         expected = {s: (v["count"], v["hash"]) for s, v in self.manifest["shards"].items()}
         if total != self.count_all or actual != expected:
             raise Corrupt("stored points don't match the manifest")
-        rows = {str(r["centroid"]): r["n"] for r in table.groupBy("centroid").agg(F.count("*").alias("n")).collect()}
+        rows = {str(c): n for c, n in lists.items()}
         if rows != self.manifest["index"]["rows"]:
             raise Corrupt("lists of the index don't match the manifest")
         if full:
@@ -369,20 +388,28 @@ class SnapshotEngine:
             assigned = assigned.where(F.col("shard").isin(sorted(write))) if write else assigned.where("false")
         segment = uuid.uuid4().hex
         # sorted by list, so that row groups of other lists are skipped
-        out = assigned.select(COLUMNS).repartition("shard").sortWithinPartitions("shard", "centroid", "cid")
+        # a shard is one file until its rows are many
+        files = -(-count // (FILE_ROWS << SHARD_BITS))
+        out = assigned.select(COLUMNS)
+        out = out.repartition("shard") if files < 2 else out.repartition(files << SHARD_BITS, "shard", F.pmod(F.xxhash64("cid"), F.lit(files)))
+        out = out.sortWithinPartitions("shard", "centroid", "cid")
         out.write.option("compression", "zstd").partitionBy("shard").parquet(self.files.path(f"segments/{segment}"))
         written = self.spark.read.schema(_STORED).parquet(self.files.path(f"segments/{segment}"))
-        shards = {str(r["shard"]): {"count": r["n"], "hash": [r[x] for x in "abcd"], "segment": segment} for r in shard_sums(written).collect()}
+        found, lists = sums(written)
+        shards = {str(s): {"count": n, "hash": own, "segment": segment} for s, (n, own) in found.items()}
         if write is not None:
-            shards |= {s: v for s, v in before.manifest["shards"].items() if int(s) not in write}
+            kept = {s: v for s, v in before.manifest["shards"].items() if int(s) not in write}
+            shards |= kept
+            if kept:  # their rows of each list, which no one has counted
+                rest = before._table([int(s) for s in kept]).groupBy("centroid").agg(F.count("*").alias("n")).collect()
+                for r in rest:
+                    lists[r["centroid"]] = lists.get(r["centroid"], 0) + r["n"]
         name = None
         if len(book):
             name = hashlib.sha256((book + np.float32(0)).tobytes()).hexdigest()
             if not self.files.exists(f"codebooks/{name}/_SUCCESS"):
                 self.spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(book)], "centroid int, vector array<float>").coalesce(1).write.mode("overwrite").parquet(self.files.path(f"codebooks/{name}"))
-        manifest = {"format": FORMAT, "config": _config_json(config), "count": count, "shards": shards, "index": {"centroids": centroids, "sample": mark, "codebook": name, "rows": {}}}
-        draft = Snapshot(self, "", manifest)
-        manifest["index"]["rows"] = {str(r["centroid"]): r["n"] for r in draft._table().groupBy("centroid").agg(F.count("*").alias("n")).collect()}
+        manifest = {"format": FORMAT, "config": _config_json(config), "count": count, "shards": shards, "index": {"centroids": centroids, "sample": mark, "codebook": name, "rows": {str(c): n for c, n in lists.items()}}}
         root = hashlib.sha256(canonical(identity(manifest))).hexdigest()
         if not self.files.create(f"roots/{root}.json", canonical(manifest)):
             # the same state was written before: its files serve, ours go
@@ -406,7 +433,14 @@ class SnapshotEngine:
         root stays.  Without a filter among the steps only the shards of the
         ids in the batch are read.
         """
-        before, steps = self.open_snapshot(previous), list(mutations)
+        drafts: list[str] = []
+        try:
+            return self._apply(self.open_snapshot(previous), list(mutations), drafts)
+        finally:
+            for name in drafts:
+                self.files.delete(name)
+
+    def _apply(self, before: Snapshot, steps: list[Mutation], drafts: list[str]) -> Snapshot:
         config = before.config
         upserts, shards, everything = [], set(), False
         folded: list[tuple[str, Any]] = []
@@ -414,12 +448,17 @@ class SnapshotEngine:
         for m in steps:
             if m.kind == "upsert":
                 table = self._points(m.value, config.dimension)
+                if isinstance(m.value, DataFrame):
+                    # what may be dear to compute is read several times
+                    drafts.append(f"drafts/{uuid.uuid4().hex}")
+                    table.write.option("compression", "zstd").parquet(self.files.path(drafts[-1]))
+                    table = self.spark.read.schema(table.schema).parquet(self.files.path(drafts[-1]))
                 upserts.append(table)
                 folded.append(("upsert", tables.with_place(table)))
-                if isinstance(m.value, DataFrame):
-                    shards |= {r["shard"] for r in tables.with_place(table.select("cid")).select("shard").distinct().collect()}
-                else:
-                    shards |= {shard_of(canonical_id(p.id)) for p in m.value}
+            elif m.kind == "delete_ids" and isinstance(m.value, DataFrame):
+                table = tables.with_place(m.value.select("cid").where("cid IS NOT NULL").distinct())
+                shards |= {r["shard"] for r in table.select("shard").distinct().collect()}
+                folded.append(("delete_table", table))
             elif m.kind == "delete_ids":
                 cids = [canonical_id(i) for i in m.value]
                 if not cids:
@@ -435,19 +474,25 @@ class SnapshotEngine:
             every = upserts[0]
             for t in upserts[1:]:
                 every = every.union(t)
-            tables.check(every, config.dimension)
+            shards |= tables.check_and_place(every, config.dimension)[1]
         start = before._table() if everything else before._table(sorted(shards))
         state = start
         for kind, value in folded:
             if kind == "upsert":
                 state = state.join(value.select("cid"), "cid", "left_anti").unionByName(value.withColumn("centroid", F.lit(None).cast("int")))
+            elif kind == "delete_table":
+                state = state.join(value.select("cid"), "cid", "left_anti")
             elif kind == "delete":
                 state = state.join(F.broadcast(value), "cid", "left_anti")
             else:
                 state = state.where(~value)
         # an upsert of what is there already keeps its list
         a = start.select("cid", F.col("vector").alias("va"), F.col("payload").alias("pa"), F.col("shard").alias("sa"), F.col("centroid").alias("ca"))
+        # the state as it was and as it gets, which is counted, sampled and written
+        drafts.append(f"drafts/{uuid.uuid4().hex}")
         both = state.join(a, "cid", "full_outer")
+        both.write.option("compression", "zstd").parquet(self.files.path(drafts[-1]))
+        both = self.spark.read.schema(both.schema).parquet(self.files.path(drafts[-1]))
         same = F.col("pa").isNotNull() & F.col("payload").isNotNull() & (F.col("va") == F.col("vector")) & (F.col("pa") == F.col("payload"))
         change = both.where(~F.coalesce(same, F.lit(False))).groupBy(F.coalesce("shard", "sa").alias("shard")).agg(F.count_if(F.col("pa").isNull()).alias("added"), F.count_if(F.col("payload").isNull()).alias("removed")).collect()
         touched = {r["shard"] for r in change}
