@@ -7,9 +7,10 @@ import json
 import os
 import sys
 from dataclasses import asdict
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .errors import Invalid, VectorStoreError
 from .model import CollectionConfig, DeleteSelector, Filter, GetRequest, IndexConfig, Point, Query, QueryParams
@@ -178,14 +179,10 @@ def run(a: argparse.Namespace, spark: SparkSession) -> Any:
                 os.unlink(path)
         return asdict(done[-1]) | {"affected": sum(r.affected for r in done), "batches": len(done)}
     if a.command == "index":
-        store, total = Store.open(spark, a.db), 0
-        texts = store.text_collection(a.collection, HashingEmbedder(a.dimension))
-        for path in a.paths:
-            from pyspark.sql import functions as F
-
-            table = trees.document_chunks(spark, path, a.chunk_chars)
-            total += texts.upsert_table(table.withColumn("metadata", F.to_json(F.struct("source", "chunk"))), "id", "document", "metadata").affected
-        return {"collection": a.collection, "chunks": total, "root": texts.vectors().root()}
+        texts = Store.open(spark, a.db).text_collection(a.collection, HashingEmbedder(a.dimension))
+        files = reduce(DataFrame.union, (trees.files(spark, p) for p in a.paths)).dropDuplicates(["source"])
+        n, chunks, _ = texts.sync_files(files, a.chunk_chars)
+        return {"collection": a.collection, "files": n, "chunks": chunks, "root": texts.vectors().root()}
     if a.command == "pull":
         return {"collection": a.collection, "received": Database.init(spark, a.db).pull(a.collection, a.remote)}
     database = Database.open(spark, a.db)

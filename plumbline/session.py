@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -32,10 +33,12 @@ _fallback: str | None = None
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the cluster's shared folder; in a local one of our own only where none is set."""
+    """A new folder's path in the cluster's shared folder; in a local one of our own only in local mode where none is set."""
     global _fallback
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         if _fallback is None:
             _fallback = tempfile.mkdtemp(prefix="plumbline-shared-")
         named = f"file://{_fallback}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Any
 
 import pandas as pd
@@ -73,7 +74,7 @@ def import_points(handle: Any, path: str, batch_size: int | None = None, expecte
         from ..model import CollectionConfig
 
         handle.store.database.get_or_create_collection(handle.name, CollectionConfig(dimension))
-    target = handle.advanced()
+    target, draft = handle.advanced(), None
     if batch_size is None or n <= batch_size:
         parts = [points]
     else:
@@ -86,13 +87,21 @@ def import_points(handle: Any, path: str, batch_size: int | None = None, expecte
             total += r["n"]
         offsets = spark.createDataFrame(base, "p long, base long")
         numbered = marked.join(F.broadcast(offsets), F.shiftright("at", 33) == F.col("p")).withColumn("batch", F.floor((F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)) / batch_size))
-        parts = [numbered.where(F.col("batch") == i).select("cid", "vector", "payload") for i in range(-(-n // batch_size))]
+        # parsed and numbered once, then each batch is a folder
+        files = handle.store.database.files
+        draft = f"drafts/{uuid.uuid4().hex}"
+        numbered.select("cid", "vector", "payload", "batch").write.partitionBy("batch").parquet(files.path(draft))
+        parts = [spark.read.schema(points.schema).parquet(files.path(f"{draft}/batch={i}")) for i in range(-(-n // batch_size))]
     results, root = [], expected_root
-    for i, part in enumerate(parts):
-        results.append(target.upsert_expect(part, root if root is not None else None))
-        root = results[-1].root
-        if progress:
-            progress(i + 1, len(parts))
+    try:
+        for i, part in enumerate(parts):
+            results.append(target.upsert_expect(part, root if root is not None else None))
+            root = results[-1].root
+            if progress:
+                progress(i + 1, len(parts))
+    finally:
+        if draft:
+            files.delete(draft)
     return results
 
 

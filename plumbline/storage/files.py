@@ -13,10 +13,11 @@ from pyspark.sql import SparkSession
 class Files:
     """A folder's small files; Spark itself reads and writes the tables below it.
 
-    On a local or mounted disk a file comes to be by a hard link, elsewhere by
-    Hadoop's create without overwriting.  Both fail if the name is taken, and
-    that is all that compare-and-swap needs.  Object stores without a
-    conditional put don't give this.
+    A file is written as a draft, which then gets its name: on a local or
+    mounted disk by a hard link, elsewhere by Hadoop's rename without
+    overwriting.  Both fail if the name is taken, which is what
+    compare-and-swap needs, and a writer that dies leaves a draft only.
+    Object stores whose rename isn't exclusive don't give this.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -66,17 +67,25 @@ class Files:
             finally:
                 os.unlink(draft)
         system, at = self._hadoop(name)
-        try:
-            stream = system.create(at, False)
-        except Exception as error:
-            if system.exists(at):
-                return False
-            raise error
+        _, draft = self._hadoop(f"{name}.{uuid.uuid4().hex}.tmp")
+        stream = system.create(draft, False)
         try:
             stream.write(bytearray(content))
         finally:
             stream.close()
-        return True
+        jvm = self.spark.sparkContext._jvm
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, at, options)
+            return True
+        except Exception:
+            if system.exists(at):
+                return False
+            raise
+        finally:
+            system.delete(draft, False)
 
     def names(self, folder: str) -> list[str]:
         """Names in a folder, in order; none if there is no folder."""
@@ -86,7 +95,7 @@ class Files:
             except (FileNotFoundError, NotADirectoryError):
                 return []
         system, at = self._hadoop(folder)
-        return sorted(s.getPath().getName() for s in system.listStatus(at)) if system.exists(at) else []
+        return sorted(n for s in system.listStatus(at) if not (n := s.getPath().getName()).endswith(".tmp")) if system.exists(at) else []
 
     def sizes(self, folder: str) -> dict[str, int]:
         """Bytes of all files below a folder, by path from the root."""

@@ -37,14 +37,24 @@ class HashingEmbedder:
         if dimension < 1:
             raise Invalid("an embedding has at least one component")
         self.dimension, self.model_id = dimension, f"hashing-{dimension}"
+        self._known: dict[str, int] = {}
+
+    def _hash(self, word: str) -> int:
+        """The word's hash, remembered as long as there is room."""
+        h = self._known.get(word)
+        if h is None:
+            if len(self._known) >= 1 << 20:
+                self._known.clear()
+            h = self._known[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return h
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dimension))
         for i, t in enumerate(texts):
             words = re.findall(r"\w+", t.lower())
-            for w in (*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, (h >> 1) % self.dimension] += 1 if h & 1 else -1
+            h = np.fromiter(map(self._hash, (*words, *map(" ".join, zip(words, words[1:])))), np.uint64)
+            place = (h >> np.uint64(1)) % np.uint64(self.dimension)
+            out[i] = np.bincount(place.astype(np.int64), np.where(h & np.uint64(1), 1.0, -1.0), self.dimension)
             if not out[i].any():
                 out[i, 0] = 1.0
         return (out / np.linalg.norm(out, axis=1, keepdims=True)).astype(np.float32).tolist() if len(texts) else []
@@ -155,6 +165,32 @@ class TextCollection:
         own = embedded(chosen, "text", "vector", self.embedder)
         return self.handle.upsert(from_table(own, "id", "vector", F.col("payload")), vector_space=self.embedder.model_id)
 
+    def sync_files(self, files: DataFrame, size: int) -> tuple[int, int, WriteResult | None]:
+        """Make the chunks of files (source, text) what the collection has of them, as one commit; numbers of files and chunks, and the commit.
+
+        Chunks that a file no longer has go, so all of an empty file's.  Files
+        that aren't given are left alone.
+        """
+        from ..functions.chunks import chunked
+
+        count = files.count()
+        if not count:
+            raise Invalid("there are no files to index")
+        rows = chunked(files, size)
+        own = embedded(rows.withColumn("payload", F.to_json(F.struct("source", "chunk", F.col("document").alias(RESERVED)))), "document", "vector", self.embedder)
+        points = from_table(own, "id", "vector", F.col("payload"))
+        chunks = rows.count()
+        try:
+            self._same_space()
+            source = F.try_variant_get(F.parse_json("payload"), "$.source", "variant")
+            named = F.when(F.schema_of_variant(source) == "STRING", F.try_variant_get(source, "$", "string"))
+            old = self.handle.advanced().points().select("cid", named.alias("source"))
+            stale = old.join(files.select("source").distinct(), "source", "left_semi").join(points.select("cid"), "cid", "left_anti").select("cid")
+        except CollectionNotFound:
+            return count, chunks, self.handle.upsert(points, vector_space=self.embedder.model_id) if chunks else None
+        steps = [Mutation.delete_ids(stale)] + ([Mutation.upsert(points)] if chunks else [])
+        return count, chunks, self.handle.apply(steps)
+
     def replace_documents(self, filter: Filter, documents: Iterable[Document]) -> WriteResult:
         """Delete what passes the filter and put documents in, as one commit."""
         self._same_space()
@@ -194,6 +230,8 @@ def embedded(documents: DataFrame, text: str, column: str, embedder: Embedder) -
         vectors = embedder.embed(rows) if rows else []
         if len(vectors) != len(rows):
             raise ValueError(f"{len(rows)} texts were given, {len(vectors)} vectors came back")
+        if any(not len(v) or not np.isfinite(v).all() or not np.any(v) for v in vectors):
+            raise ValueError("an embedding is finite and isn't zero")
         turn = iter(vectors)
         return pd.Series([None if t is None else [float(x) for x in next(turn)] for t in texts], dtype=object)
 
