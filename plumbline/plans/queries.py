@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.chunks import chunked
 from ..functions.ids import uint_cid
 from ..functions.vectors import cosine
 from ..model import CollectionConfig, Condition, Filter, Mutation, Range
@@ -59,12 +58,12 @@ def _hits(found: DataFrame) -> DataFrame:
     return found.select("qid", F.col("rank").cast("long").alias("rank"), _uint().alias("vec_id"), F.round("score", 6).alias("score"))
 
 
-def _top_sql(where: str = "TRUE") -> str:
+def _top_sql(where: str = "TRUE", score: str = "score") -> str:
     return f"""
     WITH e AS (SELECT vec_id, label, vec_id % 1000 AS bucket, embedding::DOUBLE[] AS v FROM embeddings),
     s AS (SELECT q.vec_id AS qid, p.vec_id, list_cosine_similarity(p.v, q.v) AS score FROM e p, e q WHERE {where}),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s)
-    SELECT qid, rank::BIGINT AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= {K}"""
+    SELECT qid, rank::BIGINT AS rank, vec_id, round({score}, 6) AS score FROM r WHERE rank <= {K}"""
 
 
 @_register(_top_sql())
@@ -253,7 +252,8 @@ def _probes(s: Snapshot, asked: DataFrame) -> int:
     return max(s.config.index.default_probes, ivf.enough_probes(s.points(), asked, s.centroids(), K)) if len(s.centroids()) > s.config.index.default_probes else s.config.index.default_probes
 
 
-@_register()
+# the default is all lists up to 9,120 points, so the result is exact there
+@_register(_top_sql())
 def ivf_topk_default_probes(spark, sf):
     s = _snapshot(spark, sf)
     return _hits(ivf.search_join(s.points(), _queries(spark, sf), s.centroids(), K, _probes(s, _queries(spark, sf))))
@@ -296,11 +296,6 @@ def jsonl_round_trip(spark, sf):
     return back.select(_uint().alias("id"), F.get_json_object("payload", "$.label").cast("int").alias("label"), F.posexplode("vector").alias("position", "value")).select("id", "label", F.col("position").cast("long").alias("position"), (F.round(F.col("value").cast("double"), 5) + F.lit(0.0)).alias("value"))
 
 
-@_register()
-def document_chunks(spark, sf):
-    return chunked(_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source"), "text"), 2000)
-
-
 @_register()
 def text_topk(spark, sf):
     """The ten closest documents of every document, by the hashing embedder."""
@@ -310,6 +305,9 @@ def text_topk(spark, sf):
     return found.select("qid", F.col("rank").cast("long").alias("rank"), _uint().alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+from . import collections as _collections  # noqa: E402, F401  registers more of them
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_found)
 
