@@ -207,8 +207,8 @@ def search_join(points: DataFrame, queries: DataFrame, centroids: np.ndarray, k:
     """(qid, rank, cid, score) of an approximate search for a table of queries (qid: long, vector), of any size.
 
     points has (cid, vector, centroid).  Each query goes to its ``probes``
-    closest lists; a list's queries are cut into blocks by a hash, so a list
-    that many queries visit is on many tasks.
+    closest lists; a list's queries and its points are cut into blocks by a
+    hash, so a list that is long, or that many queries visit, is on many tasks.
     """
     from .search import _blocked, _ranked
 
@@ -226,11 +226,14 @@ def search_join(points: DataFrame, queries: DataFrame, centroids: np.ndarray, k:
         return pd.Series(np.argsort(-score, axis=1, kind="stable")[:, :count].astype(np.int32).tolist())
 
     blocks = max(1, -(-queries.count() * count // (len(centroids) * block)))
-    right = queries.select("qid", "vector", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("b"), F.explode(lists("vector")).alias("centroid"))
-    left = points.select("cid", "vector", "centroid", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    longest = points.groupBy("centroid").count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, -(-longest // (4 * block)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    right = queries.select("qid", "vector", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("b"), F.explode(lists("vector")).alias("centroid")).withColumn("p", each(parts))
+    left = points.select("cid", "vector", "centroid", F.pmod(F.xxhash64("cid"), F.lit(parts)).cast("int").alias("p"), each(blocks).alias("b"))
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_blocked(a, b, k)])
 
-    found = left.groupBy("centroid", "b").cogroup(right.groupBy("centroid", "b")).applyInArrow(best, "qid long, cid binary, score double")
+    found = left.groupBy("centroid", "p", "b").cogroup(right.groupBy("centroid", "p", "b")).applyInArrow(best, "qid long, cid binary, score double")
     return _ranked(found, k)
