@@ -42,7 +42,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judge(_table(spark, sf_dir, "documents"))
+    return rules.judge(_table(spark, sf_dir, "documents"), Scratch(spark))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
