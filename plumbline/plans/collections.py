@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..errors import Invalid
 from ..functions.chunks import chunked
 from ..model import CollectionConfig, Condition, DeleteSelector, Filter, GetRequest, Mutation, Query, QueryParams
-from ..operators import filters
+from ..operators import filters, lsh
 from ..session import shared_folder
 from ..sources import jsonl
 from ..sources.points import from_table
 from ..storage.database import Collection, Database
+from ..storage.older import OlderIndex
 from ..storage.snapshots import Snapshot, SnapshotEngine
 from ..storage.store import Store
 from ..storage.text import Document, HashingEmbedder
@@ -307,3 +308,36 @@ def replace_documents(spark, sf):
     own = texts.vectors().advanced().points()
     is_text = F.hex(F.substring("cid", 1, 1)) == "73"
     return own.select(F.when(is_text, F.lit(-1).cast("long")).otherwise(_uint()).alias("id"), F.get_json_object("payload", "$.kind").alias("kind"))
+
+
+# the older index
+
+_TABLES, _BITS = 2, 4
+
+
+@_register(_top_sql("q.vec_id % 50 = 0 AND p.label <> 7", "score::FLOAT::DOUBLE").replace("ORDER BY score DESC", "ORDER BY score::FLOAT DESC"))
+def older_search(spark, sf):
+    """Searches of all buckets of the older index, which rank by scores of 32 bits."""
+    s = _snapshot(spark, sf)
+    index = OlderIndex(s, _TABLES, _BITS)
+    other = Filter(must_not=(Condition.matches("label", 7),))
+    found = None
+    for q, v in _asked(spark, sf):
+        hits, _ = index.search(v, K, _TABLES << _BITS, s.count_all, other)
+        hits = hits.select(F.lit(q).cast("long").alias("qid"), F.col("rank").cast("long").alias("rank"), _uint().alias("vec_id"), F.round("score", 6).alias("score"))
+        found = hits if found is None else found.union(hits)
+    return found
+
+
+@_register("""
+SELECT count(*) FILTER (label <> 3) + count(*) FILTER (label = 2) AS points, 2 * (count(*) FILTER (label <> 3) + count(*) FILTER (label = 2)) AS entries, 0::BIGINT AS differ FROM embeddings""")
+def older_index_update(spark, sf):
+    """An index carried on from an earlier snapshot's is that of a new build."""
+    first = _snapshot(spark, sf)
+    second = first.apply(core._batch(spark, sf))
+    updated = OlderIndex(second, _TABLES, _BITS)
+    rows = updated.update(first)
+    anew = lsh.index(second.points(), updated.signs).select("cid", "table", "signature")
+    own = rows.select("cid", "table", "signature")
+    differ = own.exceptAll(anew).count() + anew.exceptAll(own).count()
+    return spark.createDataFrame([(second.count_all, rows.count(), differ)], "points long, entries long, differ long")
