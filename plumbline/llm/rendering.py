@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-ALIGN = 60  # table columns are padded to at most so many characters
+ALIGN = 60  # characters to which a column of a table may grow; what stands behind a wider cell goes below it
 
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=[ \t\n\r\f]*+(?:"[^"]*"|'[^']*')?)*+)>|[!?/][^>]*>)""", re.S)
+_OPENS = re.compile(r"</?[a-zA-Z]|<[!?/]")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _GAPS = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^}]*)\}")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_BRACE = re.compile(r"[{}]")
 _SIMPLE = re.compile(r"^([a-zA-Z][\w-]*)?(?:([.#])([\w-]+))?$")
-_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([\w-]+)", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
 #: Text up to the end tag, in which tags are not tags.
@@ -48,6 +50,41 @@ _SHIELD = frozenset(("table", "td", "th", "caption", "html", "template", "button
 _HEAD_CONTENT = frozenset("title meta link style script base noscript template basefont bgsound".split())
 
 
+class _Kept(str):
+    """A blank line of preformatted text."""
+
+
+def _last(pattern: re.Pattern, style: str) -> str | None:
+    """The last value that declarations give a property."""
+    found = pattern.findall(style)
+    return found[-1].lower() if found else None
+
+
+def rules(css: str) -> list[tuple[str, str]]:
+    """(selectors, declarations) of the rules of a style sheet that hold on any screen.
+
+    Blocks of @media count if they name a screen or all media without further
+    conditions; those of other at-rules don't, but for @layer.
+    """
+    css = _COMMENT.sub(" ", css)
+    found, heads, at = [], [], 0
+    for m in _BRACE.finditer(css):
+        part = css[at : m.start()]
+        at = m.end()
+        if m[0] == "{":
+            heads.append(part.rpartition(";")[2].strip())
+        elif heads:
+            head = heads.pop()
+            if not head.startswith("@") and all(map(_holds, heads)):
+                found.append((head, part))
+    return found
+
+
+def _holds(head: str) -> bool:
+    name, _, condition = head.lower().partition(" ")
+    return name == "@layer" or name == "@media" and any(x.strip() in ("", "all", "screen", "only screen") for x in condition.split(","))
+
+
 class _Flow:
     """Lines of one box: the page or a table cell."""
 
@@ -77,13 +114,13 @@ class _Flow:
         if first:
             self.line.append(first)
         for x in rest:
-            self.end(True)
+            self.end(True, True)
             if x:
                 self.line.append(x)
         self.space = False
 
-    def end(self, forced: bool = False) -> None:
-        """End the line; an empty one counts only if forced."""
+    def end(self, forced: bool = False, kept: bool = False) -> None:
+        """End the line; an empty one counts only if forced, and one that is kept is never left out."""
         if self.line or forced:
             if self.blank and self.lines:
                 self.lines += [""] * self.blank
@@ -92,7 +129,8 @@ class _Flow:
             if self.marker:
                 indent = indent[: len(indent) - len(self.marker)] + self.marker
                 self.marker = ""
-            self.lines.append((indent + "".join(self.line)).rstrip())
+            line = (indent + "".join(self.line)).rstrip()
+            self.lines.append(_Kept() if kept and not line else line)
             self.line = []
         self.space = False
 
@@ -141,18 +179,29 @@ class _Table:
         starts = [0]
         for w in widths:
             starts.append(starts[-1] + (w + 2 if w else 0))
-        text = []
+        text: list[str] = []
         for out in placed:
-            for i in range(max((len(lines) for _, _, lines in out), default=0)):
-                line = ""
-                for c, _, lines in out:
-                    if i < len(lines) and lines[i]:
-                        if line:
-                            line = line.ljust(max(starts[c], len(line) + 2))
-                        else:
-                            line = " " * starts[c]
-                        line += lines[i]
-                text.append(line.rstrip())
+            begin = 0
+            for k, (c, columns, lines) in enumerate(out):
+                # a cell that is wider than its columns ends a band; the next stands below, in its column
+                if k + 1 == len(out) or max(map(len, lines), default=0) > max(0, starts[c + columns] - starts[c] - 2):
+                    text += self.band(out[begin : k + 1], starts)
+                    begin = k + 1
+        return text
+
+    @staticmethod
+    def band(cells: list[tuple[int, int, list[str]]], starts: list[int]) -> list[str]:
+        """Lines of cells side by side."""
+        text: list[str] = []
+        for i in range(max(len(lines) for _, _, lines in cells)):
+            line, kept = "", False
+            for c, _, lines in cells:
+                if i < len(lines):
+                    kept = kept or isinstance(lines[i], _Kept)
+                    if lines[i]:
+                        line = line.ljust(starts[c]) + lines[i]
+            line = line.rstrip()
+            text.append(_Kept() if kept and not line else line)
         return text
 
 
@@ -165,8 +214,11 @@ def _attributes(s: str) -> dict[str, str]:
 
 
 def _number(s: str | None, least: int, most: int) -> int | None:
-    m = re.match(r"\s*(-?\d{1,9})", s or "")
-    return min(max(int(m[1]), least), most) if m else None
+    m = re.match(r"\s*(-?)(?=\d)0*(\d*)", s or "")
+    if not m:
+        return None
+    # beyond 18 digits a number is out of any range
+    return min(max(int(m[1] + (m[2][:18] or "0")), least), most)
 
 
 class _Page:
@@ -181,27 +233,41 @@ class _Page:
         self.visible = True
         self.pre = 0
         self.lists: list[list] = []
-        self.hiding: dict[str, bool] = {}  # selectors that a style sheet hides
+        #: Selector of a style sheet: place of its last rule, display and visibility, or None.
+        self.hiding: dict[str, tuple] = {}
+        self.order = 0
 
     def style(self, css: str) -> None:
-        for m in _RULE.finditer(css):
-            if _NO_DISPLAY.search(m[2]) or ((v := _VISIBILITY.search(m[2])) and v[1].lower() != "visible"):
-                for selector in m[1].split(","):
-                    s = _SIMPLE.match(selector.strip())
-                    if s and selector.strip():
-                        self.hiding[f"{(s[1] or '').lower()}{s[2] or ''}{s[3] or ''}"] = True
+        for head, declarations in rules(css):
+            display, visibility = _last(_DISPLAY, declarations), _last(_VISIBILITY, declarations)
+            if display is None and visibility is None:
+                continue
+            for selector in head.split(","):
+                s = _SIMPLE.match(selector.strip())
+                if s and selector.strip():
+                    # of equally specific rules the last holds
+                    self.order += 1
+                    name = f"{(s[1] or '').lower()}{s[2] or ''}{s[3] or ''}"
+                    before = self.hiding.get(name, (0, None, None))
+                    self.hiding[name] = (self.order, before[1] if display is None else display, before[2] if visibility is None else visibility)
 
     def hidden(self, tag: str, a: dict[str, str]) -> bool:
-        if "hidden" in a or (tag == "dialog" and "open" not in a):
-            return True
-        style = a.get("style")
-        if style and _NO_DISPLAY.search(style):
-            return True
+        """Whether an element isn't shown, by its attributes and the simple rules of style sheets, the most specific last."""
+        gone = "hidden" in a or (tag == "dialog" and "open" not in a)
+        veiled = False
         if self.hiding:
-            names = [f"#{a['id']}"] if "id" in a else []
-            names += [f".{c}" for c in a.get("class", "").split()]
-            return tag in self.hiding or any(n in self.hiding or tag + n in self.hiding for n in names)
-        return False
+            classes = [f".{c}" for c in a.get("class", "").split()]
+            ids = [f"#{a['id']}"] if "id" in a else []
+            for names in ([tag], classes, [tag + c for c in classes], ids, [tag + i for i in ids]):
+                for _, display, visibility in sorted(self.hiding[n] for n in names if n in self.hiding):
+                    gone = gone if display is None else display == "none"
+                    veiled = veiled if visibility is None else visibility != "visible"
+        if style := a.get("style"):
+            if (display := _last(_DISPLAY, style)) is not None:
+                gone = display == "none"
+            if _last(_VISIBILITY, style) is not None:
+                veiled = False  # the element's own state, which its children can change
+        return gone or veiled
 
     def within(self, tags: frozenset, shields: frozenset) -> int | None:
         """Index of the innermost open element of tags that no shield hides."""
@@ -240,10 +306,10 @@ class _Page:
         parent = self.open[-1] if self.open else None
         if tag == "summary" and parent and parent[3] == "closed":
             self.shown = parent[1]
-        if tag in UNSEEN or (a or self.hiding) and self.hidden(tag, a):
+        if tag in UNSEEN or (a or self.hiding or tag == "dialog") and self.hidden(tag, a):
             self.shown = False
-        if (s := a.get("style")) and (v := _VISIBILITY.search(s)):
-            self.visible = v[1].lower() == "visible"
+        if (s := a.get("style")) and (v := _last(_VISIBILITY, s)):
+            self.visible = v == "visible"
         if self.shown:
             flow = self.flow
             if tag == "br":
@@ -311,9 +377,9 @@ class _Page:
             lines = self.table.pop().layout()
             self.flow.block(1)
             for line in lines:
-                if line:
+                if line or isinstance(line, _Kept):
                     self.flow.line.append(line)
-                    self.flow.end()
+                    self.flow.end(kept=isinstance(line, _Kept))
             self.flow.block(1)
         elif undo == "list":
             self.lists.pop()
@@ -361,17 +427,20 @@ class _Page:
 
 def render(page: str) -> str:
     """The visible text of one page; see extract."""
-    out, at = _Page(), 0
+    out, at, begin = _Page(), 0, 0
     n = len(page)
-    match = _TAG.search
     while at < n:
-        m = match(page, at)
+        at = page.find("<", at)
+        m = _TAG.match(page, at) if at >= 0 else None
         if m is None:
-            out.text(page[at:])
+            if at >= 0 and not _OPENS.match(page, at):
+                at += 1
+                continue
+            # what begins as a tag and never ends has no tag behind it either
             break
-        if m.start() > at:
-            out.text(page[at : m.start()])
-        at = m.end()
+        if at > begin:
+            out.text(page[begin:at])
+        at = begin = m.end()
         tag = m[2]
         if tag is None:
             continue
@@ -381,7 +450,7 @@ def render(page: str) -> str:
             continue
         out.start(tag, m[3])
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             inside = page[at : stop.start()] if stop else page[at:]
             if tag == "style":
                 out.style(inside)
@@ -391,9 +460,16 @@ def render(page: str) -> str:
             at = stop.end() if stop else n
         elif tag in ("pre", "listing") and page.startswith("\n", at):
             at += 1
+        begin = at
+    if begin < n:
+        out.text(page[begin:])
     out.pop_to(0)
-    text = "\n".join(out.flow.done())
-    return re.sub(r"\n{3,}", "\n\n", text.replace("\xa0", " ")).strip("\n")
+    # of blank lines in a row one stays, but for those of preformatted text
+    lines: list[str] = []
+    for line in out.flow.done():
+        if line or isinstance(line, _Kept) or not lines or lines[-1] or isinstance(lines[-1], _Kept):
+            lines.append(line)
+    return "\n".join(lines).replace("\xa0", " ").strip("\n")
 
 
 @F.pandas_udf(StringType())
@@ -414,12 +490,18 @@ def extract(pages: DataFrame) -> DataFrame:
     summary.  White space collapses except in preformatted text; blocks start
     lines, and paragraphs, headings, lists, quotes and tables have a blank line
     around them; list items have bullets or their numbers, nested lists are
-    indented; cells of a table stand in columns padded to at most 60
-    characters (their text is never cut), with spans of rows and columns.
-    Values of input fields are visible, all options of a selection too.
+    indented; cells of a table stand in columns, with spans of rows and
+    columns.  A column grows to 60 characters; where a cell is wider, what
+    follows in its row stands below it, each cell in its own column, and no
+    text is cut.  Blank lines collapse into one, but not those of preformatted
+    text.  Values of input fields are visible, all options of a selection too.
+    Of rules for an element the most specific holds, of equally specific ones
+    the last, and its own style before all; blocks of @media count only if
+    they are for any screen.
 
     A null page gives null, an empty one the empty text.  Broken markup is
-    text.  Repeated rows each have a result, null ids and addresses stay.
+    text, and so is all behind a tag that never ends.  The time that a page
+    takes grows with its length.  Repeated rows each have a result, null ids and addresses stay.
     Other columns are ignored.  No pages, no rows.
     """
     return pages.select("page_id", "url", _rendered("html").alias("text"))
