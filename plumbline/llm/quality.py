@@ -124,10 +124,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, column: str,
         texts = [t if t is not None else "" for t in text]
         for a, b in textops.blocks(texts):
             found, offsets = ngrams(texts[a:b], bits)
-            sums = np.concatenate([np.zeros((2, 1)), np.cumsum(np.stack([product[found], square[found]]), axis=1)], axis=1)[:, offsets]
-            dot, norm = np.diff(sums, axis=1)
             has = np.diff(offsets) > 0
-            out[a:b][has] = dot[has] / np.sqrt(np.maximum(norm[has], 1e-12)) + bias
+            if has.any():
+                # each text is summed by itself, so that equal texts have equal scores
+                dot, norm = (np.add.reduceat(x[found], offsets[:-1][has]) for x in (product, square))
+                out[a:b][has] = dot / np.sqrt(np.maximum(norm, 1e-12)) + bias
         import pandas as pd
 
         return pd.Series(out)
