@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,32 +37,46 @@ def hyperplanes(n: int, dimension: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dimension, n))
 
 
-def _usable(rows: DataFrame, dimension: int) -> DataFrame:
-    """(id, v): one row for each id with a finite vector of the right length that isn't zero."""
-    good = F.expr(f"size(v) = {dimension} AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x != 0)")
+def _usable(rows: DataFrame) -> DataFrame:
+    """Rows (id, v) with a finite vector that isn't empty or zero."""
+    good = F.expr("size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x != 0)")
     return rows.where("id IS NOT NULL AND v IS NOT NULL").where(good)
 
 
-def _keys(rows: DataFrame, dimension: int, bits: int, tables: int, seed: int) -> DataFrame:
-    """(key, id): the bucket of each vector in each table; the table's number is mixed into the key."""
-    planes = hyperplanes(bits * tables, dimension, seed)
+def _keys(rows: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
+    """(key, id): the bucket of each vector in each table; the numbers of the table and of the components are mixed into the key."""
 
     def run(batches):
         from .textops import mix
 
         weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
         salt = mix(np.arange(1, tables + 1, dtype=np.uint64))
+        planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
-            sign = (x @ planes >= 0).reshape(len(x), tables, bits)
-            key = mix((sign * weights).sum(axis=2, dtype=np.uint64) + salt[None, :])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), tables))], names=["key", "id"])
+            ids, sizes = batch.column(0).to_numpy(), pc.list_value_length(batch.column(1)).to_numpy()
+            for d in np.unique(sizes).tolist():
+                if d not in planes:
+                    planes = {**(planes if len(planes) < 4 else {}), d: hyperplanes(bits * tables, d, seed)}
+                own = sizes == d
+                x = batch.column(1).filter(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+                sign = (x @ planes[d] >= 0).reshape(len(x), tables, bits)
+                key = mix(mix((sign * weights).sum(axis=2, dtype=np.uint64) + salt[None, :]) ^ np.uint64(d))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids[own], tables))], names=["key", "id"])
 
     return rows.select("id", "v").mapInArrow(run, "key long, id long")
 
 
+def _units(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of length 1 as rows; shorter ones have zeros behind, which change no cosine among their like."""
+    lists = pa.concat_arrays(column.chunks)
+    sizes = pc.list_value_length(lists).to_numpy()
+    x = np.zeros((len(sizes), int(sizes.max(initial=1))))
+    x[np.arange(x.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    # by the largest component first, so that no square is lost or infinite
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
 def near_groups(rows: DataFrame, scratch: Scratch, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """(id, group_id, group_size, keep): every id with the least id of its group.
 
@@ -72,35 +87,31 @@ def near_groups(rows: DataFrame, scratch: Scratch, id_column: str = "vec_id", ve
     the threshold is found.  Every candidate pair is verified by its cosine
     in double precision, whatever the size of its bucket.
 
-    The dimension is that of most vectors (the larger if tied).  Rows with a
-    null id have no result; null vectors, vectors of other dimensions, with
-    nulls or numbers that aren't finite, and zero vectors are groups of their
-    own.  Equal vectors are always linked.  Rows that repeat an id count as
-    one, linked through any of its vectors.  Other columns are ignored.  No
+    Vectors are compared with those of as many components.  Rows with a null
+    id have no result; null, empty and zero vectors, and those with nulls or
+    numbers that aren't finite, are groups of their own.  Equal vectors are
+    always linked (by 128 bits of their hash).  Rows that repeat an id count
+    as one, linked through any of its vectors.  Other columns are ignored.  No
     rows, no result.
     """
     source = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
     ids = source.where("id IS NOT NULL").select("id").distinct()
-    lengths = source.where("v IS NOT NULL AND size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if lengths is None:
-        return ids.select("id", F.col("id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep"))
-    dimension = lengths["d"]
-    good = _usable(source, dimension)
+    hashed = lambda df: df.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(7))})
+    good = hashed(_usable(source))
     # equal vectors need no search: the least id stands for them
-    firsts = scratch.save(good.groupBy("v").agg(F.min("id").alias("id"), F.collect_set("id").alias("ids")), "firsts")
-    same = firsts.select(F.explode("ids").alias("u"), F.col("id").alias("v")).where("u != v")
+    keyed = good.select("id", "h1", "h2")
+    least = scratch.save(keyed.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")), "least")
+    same = keyed.join(least.where("first < last"), ["h1", "h2"]).where("id != first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    # where an id is repeated, the hash tells which of its vectors is meant
+    firsts = good.join(least.select(F.col("first").alias("id"), "h1", "h2"), ["id", "h1", "h2"]).dropDuplicates(["id", "h1", "h2"])
+    firsts = scratch.save(firsts.select("id", "v"), "firsts")
     bits, tables = plan_tables(firsts.count(), threshold, recall)
-    entries = _keys(firsts, dimension, bits, tables, seed).distinct()
+    entries = _keys(firsts, bits, tables, seed).distinct()
     members = block_members(scratch.save(entries, "keys"), block)
-
-    def decode(column):
-        x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(-1, dimension)
-        return x / np.sqrt((x * x).sum(axis=1))[:, None]
-
     near = verified(
         members.join(firsts.select("id", F.col("v").alias("vector")), "id").select("key", "i", "j", "id", "vector"),
         "vector",
-        decode,
+        _units,
         lambda a, b: (a * b).sum(axis=1) >= threshold,
         lambda row, others: others @ row >= threshold,
     )
