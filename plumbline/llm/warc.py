@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 RANGE = 16 << 20
+RANGE_TASKS = 100_000  # tasks at most that read ranges; a task can have several
 _MAGIC = b"WARC/1."
 _GZIP = b"\x1f\x8b\x08"
 _END = b"\r\n\r\n"
@@ -222,12 +223,13 @@ def read(spark: SparkSession, path: str, scratch: Scratch, range_bytes: int = RA
     is the block without HTTP head for response records, else null; page_id
     and url are null if the field is missing, page_id too if it isn't a number.
     """
-    rows = [(f, a, min(a + range_bytes, n)) for f, n in _files(spark, path) for a in range(0, n, range_bytes)]
-    schema = "file string, start long, end long"
-    if not rows:
-        ranges = spark.createDataFrame([], schema)
-    else:
-        ranges = spark.createDataFrame(rows, schema).repartition(min(len(rows), 10_000), "file", "start")
+    files = _files(spark, path)
+    n = sum(-(-size // range_bytes) for _, size in files)
+    # the driver knows the files only, their ranges are made by the executors
+    every = spark.createDataFrame(files, "file string, size long")
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long")))
+    ranges = every.select("file", start.alias("start"), "size").select("file", "start", F.least(F.col("start") + range_bytes, "size").alias("end"))
+    ranges = ranges.repartition(max(1, min(n, RANGE_TASKS)), "file", "start")
     entry = reachable(ranges, scratch).select("file", (F.floor(F.col("place") / range_bytes) * range_bytes).alias("start"), "place").groupBy("file", "start").agg(F.min("place").alias("entry"))
     work = ranges.join(entry, ["file", "start"])
 
