@@ -14,6 +14,7 @@ DEFAULT = 1.0
 SEED = 4
 UNIT = 1 << 32
 _SLICES = 12  # bits of a document's place that name its slice
+_GROUP = 12  # bits of a copy's number that are counted within a group of copies
 
 
 def mix_sources(docs: DataFrame, scratch: Scratch, weights: dict[str, float] | None = None, default: float = DEFAULT, total: float = 1.0, seed: int = SEED, copy_column: str | None = None) -> DataFrame:
@@ -30,6 +31,10 @@ def mix_sources(docs: DataFrame, scratch: Scratch, weights: dict[str, float] | N
 
     Slices of a source (by the first 12 bits of the md5) are summed first, so
     that running sums need no more than a slice on one task, hot sources too.
+    Sums run over the fractions of a copy only, whole copies are added to them,
+    so nothing overflows however often a small source is repeated: with n
+    characters it gets at most ``total`` times all characters / n copies of
+    each row.
 
     Sources that are null form one source of the default weight.  A null text
     has no characters; a source without characters gets no copies, nor does
@@ -39,7 +44,7 @@ def mix_sources(docs: DataFrame, scratch: Scratch, weights: dict[str, float] | N
     numbers a row's copies from 0.  No documents, no rows.
     """
     weights = WEIGHTS if weights is None else weights
-    source, place, part, each, base, end, copies = (unique_name(docs, k) for k in ("mix_source", "mix_place", "mix_slice", "mix_each", "mix_base", "mix_end", "mix_copies"))
+    source, place, part, each, whole_copies, base, end, copies, group = (unique_name(docs, k) for k in ("mix_source", "mix_place", "mix_slice", "mix_each", "mix_whole", "mix_base", "mix_end", "mix_copies", "mix_group"))
     own = docs.select(*docs.columns, F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias(source), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(place))
     own = own.withColumn(part, F.substring(place, 1, _SLICES // 4))
     slices = own.groupBy(source, part).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.char_length("text").cast("long"), F.lit(0))).alias("chars"))
@@ -49,19 +54,22 @@ def mix_sources(docs: DataFrame, scratch: Scratch, weights: dict[str, float] | N
         weight = F.when(F.col(source) == F.lit(f"={k}"), F.lit(float(w))).otherwise(weight)
     sums = slices.groupBy(source).agg(F.sum("chars").alias("chars")).select(source, "chars", F.greatest(weight, F.lit(0.0)).alias("w")).where("chars > 0 AND w > 0")
     whole = sums.agg(F.sum("chars").cast("double").alias("all_chars"), F.sum("w").alias("all_w"))
-    rate = F.floor(F.col("w") / F.col("all_w") * F.col("all_chars") * F.lit(float(total)) / F.col("chars") * F.lit(float(UNIT)))
-    # one row, then one row a source
-    rates = sums.crossJoin(whole).select(source, rate.cast("long").alias(each))
+    rate = F.col("w") / F.col("all_w") * F.col("all_chars") * F.lit(float(total)) / F.col("chars")
+    # one row, then one row a source; a product with a power of two is exact
+    rates = sums.crossJoin(whole).select(source, F.floor(rate).cast("long").alias(whole_copies), F.floor((rate - F.floor(rate)) * F.lit(float(UNIT))).cast("long").alias(each))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col(source))), 1, 8), 16, 10).cast("long")
     before = F.coalesce(F.sum("n").over(Window.partitionBy(source).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # only the part of a running sum beyond the last integer matters, so that no sum overflows
+    # only the part of a running sum beyond the last integer matters
     start = F.pmod(before.cast("decimal(38,0)") * F.col(each).cast("decimal(20,0)") + offset.cast("decimal(20,0)"), F.lit(UNIT).cast("decimal(20,0)")).cast("long")
-    starts = slices.join(rates, source).select(source, part, each, start.alias(base))
+    starts = slices.join(rates, source).select(source, part, each, whole_copies, start.alias(base))
     order = Window.partitionBy(source, part).orderBy(place, F.col("doc_id"), F.md5("text"))
     ranked = own.join(starts, [source, part]).withColumn(end, F.row_number().over(order).cast("long") * F.col(each) + F.col(base))
     # whole units: division and remainder of longs, not of doubles
     crossed = F.shiftright(F.col(end), 32) - F.shiftright(F.col(end) - F.col(each), 32)
-    emitted = ranked.withColumn(copies, crossed).where(F.col(copies) > 0)
-    number = F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1))
-    out = emitted.select(*docs.columns, number.alias(copy_column or copies))
+    emitted = ranked.withColumn(copies, crossed + F.col(whole_copies)).where(F.col(copies) > 0)
+    # in groups, so that no array has all copies of a row
+    groups = emitted.select(*docs.columns, copies, F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col(copies) - 1, _GROUP))).alias(group))
+    first = F.shiftleft(F.col(group), _GROUP)
+    number = F.explode(F.sequence(first, F.least(first + (1 << _GROUP) - 1, F.col(copies) - 1)))
+    out = groups.select(*docs.columns, number.alias(copy_column or copies))
     return out if copy_column else out.drop(copies)
