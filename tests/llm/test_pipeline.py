@@ -47,7 +47,7 @@ def test_stages(spark, staged):
     t = tokenizer()
     texts = {r.doc_id: r.text for r in mixed.collect()}
     for r in encoded.collect():
-        assert r.token_ids == t.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.token_ids)
+        assert r.token_ids == t.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.token_ids) and r.text == texts[r.doc_id]
     assert ids(encoded) == ids(mixed)
 
 
