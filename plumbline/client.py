@@ -56,8 +56,13 @@ class ClientCollection:
 
     def query(self, *, query_embeddings: Sequence[Sequence[float]] | None = None, query_texts: Sequence[str] | None = None, n_results: int = 10, where: Mapping[str, Any] | None = None, where_document: Mapping[str, Any] | None = None) -> dict[str, list[list[Any]]]:
         """Hits of each query, the nearest first; a distance is 1 - cosine.  All queries share one pass."""
-        if (query_embeddings is None) == (query_texts is None):
-            raise Invalid("a query has either embeddings or texts")
+        match (query_embeddings, query_texts):
+            case (None, None):
+                raise Invalid("a query has embeddings or texts")
+            case (_, None) | (None, _):
+                pass
+            case _:
+                raise Invalid("a query hasn't both embeddings and texts")
         if query_texts is not None:
             embedder = self.client.embedder or HashingEmbedder(self.handle.advanced().snapshot().config.dimension)
             query_embeddings = TextCollection(self.handle, embedder)._embed(list(query_texts))
@@ -75,9 +80,15 @@ class ClientCollection:
         return self.handle.count()
 
     def delete(self, *, ids: Sequence[PointId] | None = None, where: Mapping[str, Any] | None = None) -> None:
-        if bool(ids) == bool(where):
-            raise Invalid("a deletion has either ids or where")
-        self.handle.delete(DeleteSelector(tuple(ids) if ids else None, from_where(where) if where else None))
+        if ids and where:
+            raise Invalid("a deletion hasn't both ids and where")
+        if ids:
+            selector = DeleteSelector(ids=tuple(ids))
+        elif where:
+            selector = DeleteSelector(filter=from_where(where))
+        else:
+            raise Invalid("a deletion has ids or where")
+        self.handle.delete(selector)
 
 
 def _both(where, where_document) -> Filter | None:

@@ -46,6 +46,29 @@ def cosine_rows(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, i:
     return np.divide(dot, scale, out=np.zeros_like(dot), where=scale != 0)
 
 
+def units(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Rows of x by their norms n; zero rows stay zero."""
+    return np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] != 0)
+
+
+def slack(dimension: int) -> float:
+    """More than a product of units can be off from the cosine that cosines gives."""
+    return 8 * (dimension + 8) * np.finfo(float).eps
+
+
+def closest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The row of y of highest cosine for each row of x, the lowest number if tied.
+
+    A matrix product decides where the best is clear, cosines where rounding could.
+    """
+    near = units(x, norms(x)) @ units(y, norms(y)).T
+    best = near.argmax(axis=1)
+    unclear = np.count_nonzero(near >= near.max(axis=1, initial=-2.0)[:, None] - slack(x.shape[1]), axis=1) > 1
+    if unclear.any():
+        best[unclear] = cosines(x[unclear], y).argmax(axis=1)
+    return best
+
+
 def matrix(column, dimension: int) -> np.ndarray:
     """Rows of doubles of an Arrow list column without nulls."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)

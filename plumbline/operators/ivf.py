@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 from pyspark.sql.window import Window
 
-from ..functions.vectors import cosines, matrix
+from ..functions.vectors import closest, cosines, matrix
 
 SAMPLE = 8192
 ROUNDS = 4
@@ -38,11 +38,6 @@ def training_sample(points: DataFrame) -> DataFrame:
     return points.select("digest", "cid", "vector").orderBy("digest", "cid").limit(SAMPLE)
 
 
-def closest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """The centroid of highest cosine of each row, the lowest number if tied."""
-    return cosines(x, centroids).argmax(axis=1)
-
-
 def train(sample: np.ndarray, count: int) -> np.ndarray:
     """Centroids as 32-bit floats after a fixed number of Lloyd rounds over the sample in its order.
 

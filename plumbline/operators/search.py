@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import cosine_rows, matrix, norms
+from ..functions.vectors import cosine_rows, matrix, norms, slack, units
 
 #: Bytes of query vectors that one pass has on each executor; more queries take more passes.
 BLOCK_BYTES = 32 << 20
@@ -43,17 +43,14 @@ def winners(cids: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.
     place = np.empty(len(cids), np.int64)
     place[np.argsort(cids, kind="stable")] = np.arange(len(cids))
     nx, ny = norms(x), norms(y)
-    unit = lambda v, n: np.divide(v, n[:, None], out=np.zeros_like(v), where=n[:, None] != 0)
-    ux, uy = unit(x, nx), unit(y, ny)
-    # more than a sum of so many products and its factors can be off
-    slack = 8 * (x.shape[1] + 8) * np.finfo(float).eps
+    ux, uy, most = units(x, nx), units(y, ny), slack(x.shape[1])
     step = max(1, TILE // len(x))
     qs, rows, scores = [], [], []
     for a in range(0, len(y), step):
         near = uy[a : a + step] @ ux.T
         if len(x) > k:
             least = np.partition(near, len(x) - k, axis=1)[:, len(x) - k]
-            q, r = np.nonzero(near >= (least - slack)[:, None])
+            q, r = np.nonzero(near >= (least - most)[:, None])
         else:
             q, r = (i.ravel() for i in np.indices(near.shape))
         q = q + a

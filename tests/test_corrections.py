@@ -139,6 +139,9 @@ def test_winners_with_rounding_and_ties():
         q, r, s = search.winners(cids, x, y, k)
         wanted = [(j, i, exact[i, j]) for j in range(len(y)) for i in sorted(range(150), key=lambda i: (-exact[i, j], cids[i]))[:k]]
         assert list(zip(q.tolist(), r.tolist(), s.tolist())) == wanted
+    from plumbline.functions.vectors import closest
+
+    assert closest(x, y).tolist() == cosines(x, y).argmax(axis=1).tolist() and closest(x[:0], y).tolist() == []
     i, j = search.grid(2000, 2000, 8, 16384)
     assert i * j >= 8 and search.grid(10**6, 10, 8, 16384)[0] == 62 and search.grid(0, 0, 8, 4) == (1, 1)
 
