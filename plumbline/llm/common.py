@@ -9,6 +9,7 @@ setting is absent, as in tests.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH = 2000
 _fallback: str | None = None
 _open: list["Scratch"] = []
 
@@ -37,11 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_fallback}"
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session have BATCH rows, unless it has a number of its own: rows are whole documents here."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, str(BATCH))
+
+
 class Scratch:
     """A folder of intermediate tables with one lifetime."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        short_batches(spark)
         self.path = f"{shared_dir(spark)}/plumbline-{uuid.uuid4().hex}"
         self.tables: list[str] = []
         _open.append(self)
@@ -104,6 +114,22 @@ def _release_all() -> None:
             return
 
 
+def settled(run: Callable) -> Callable:
+    """run, for mapInArrow, whose worker gives its free memory back at the end, since it may wait long for its next task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def unique_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -150,7 +176,7 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[p
         for table in complete_groups(batches, keys):
             yield from fn(table)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(settled(run), schema)
 
 
 def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:

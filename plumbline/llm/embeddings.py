@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, settled
 from .components import components
 from .pairing import block_members, verified
 
@@ -63,7 +63,7 @@ def _keys(rows: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
                 key = mix(mix((sign * weights).sum(axis=2, dtype=np.uint64) + salt[None, :]) ^ np.uint64(d))
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids[own], tables))], names=["key", "id"])
 
-    return rows.select("id", "v").mapInArrow(run, "key long, id long")
+    return rows.select("id", "v").mapInArrow(settled(run), "key long, id long")
 
 
 def _units(column: pa.ChunkedArray) -> np.ndarray:

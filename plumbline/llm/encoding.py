@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
 from . import bpe
-from .common import Scratch
+from .common import Scratch, settled
 
-BLOCK = 1 << 23  # characters of the texts whose words are numbered together; a longer text is alone
+BLOCK = 6 << 20  # characters of the texts whose words are numbered together; a longer text is alone
 BUCKET = 1 << 20  # words, counted once a block, that go to one bucket of the table of distinct words
 LONG = 1 << 20  # characters from which a text's words aren't held as a list
-EMIT = 1 << 19  # ids of a batch that a task hands on, but for a longer row
+EMIT = 1 << 18  # ids of a batch that a task hands on, but for a longer row
 PIECES = 1 << 20  # pieces that a vocabulary may have, since they are broadcast
 _CODEC = "zstd"
 _CHUNKS = "rows binary, ids array<int>"
@@ -133,7 +133,7 @@ def _blocks(docs: DataFrame, kept: list[str]) -> DataFrame:
         if numbers:
             yield flush()
 
-    return docs.mapInArrow(run, "block long, n_words long, rows binary, numbers binary, words binary")
+    return docs.mapInArrow(settled(run), "block long, n_words long, rows binary, numbers binary, words binary")
 
 
 def _spread(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -151,7 +151,7 @@ def _spread(blocks: DataFrame, buckets: int) -> DataFrame:
                 blobs = [pack_words([words[k] for k in order[a:b]]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array([block] * len(which), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "words"])
 
-    return blocks.select("block", "words").mapInArrow(run, "bucket long, block long, words binary")
+    return blocks.select("block", "words").mapInArrow(settled(run), "bucket long, block long, words binary")
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +212,7 @@ def _encoded_words(spread: DataFrame, path: str) -> DataFrame:
                 out += known.ids(lists)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
 
-    return spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket long, ids binary")
+    return spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settled(run), "block long, bucket long, ids binary")
 
 
 def _chunks(counts: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -285,7 +285,7 @@ def encode(docs: DataFrame, scratch: Scratch, path: str = bpe.VOCABULARY, column
     docs = docs.drop(column)
     kept = docs.columns if keep is None else keep
     work, rows_of, schema = _encoded(docs, scratch, path, column, kept)
-    return work.mapInArrow(rows_of, schema)
+    return work.mapInArrow(settled(rows_of), schema)
 
 
 def pieces(spark, path: str = bpe.VOCABULARY) -> DataFrame:
@@ -369,7 +369,7 @@ def _decoded(chunks: DataFrame, path: str, schema: StructType) -> DataFrame:
         if held:
             yield whole(held)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(settled(run), schema)
 
 
 def decode(encoded: DataFrame, path: str = bpe.VOCABULARY, column: str = "token_ids", to: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -384,7 +384,7 @@ def decode(encoded: DataFrame, path: str = bpe.VOCABULARY, column: str = "token_
     """
     kept = [c for c in encoded.columns if c not in (column, to)]
     schema = StructType([*(encoded.schema[c] for c in kept), *([StructField(column, ArrayType(IntegerType()))] if keep_ids else []), StructField(to, StringType())])
-    chunks = encoded.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{column}`").cast("array<int>")).mapInArrow(_chunks_of(), _CHUNKS)
+    chunks = encoded.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{column}`").cast("array<int>")).mapInArrow(settled(_chunks_of()), _CHUNKS)
     return _decoded(chunks, path, schema)
 
 
@@ -392,7 +392,7 @@ def encode_and_decode(docs: DataFrame, scratch: Scratch, path: str = bpe.VOCABUL
     """decode(encode(docs), keep_ids=True), with one step less between them."""
     kept = [c for c in (docs.columns if keep is None else keep) if c not in (column, to)]
     work, rows_of, schema = _encoded(docs, scratch, path, column, kept)
-    return _decoded(work.mapInArrow(_chunks_of(rows_of), _CHUNKS), path, StructType([*schema.fields, StructField(to, StringType())]))
+    return _decoded(work.mapInArrow(settled(_chunks_of(rows_of)), _CHUNKS), path, StructType([*schema.fields, StructField(to, StringType())]))
 
 
 def round_trip(docs: DataFrame, scratch: Scratch, path: str = bpe.VOCABULARY) -> DataFrame:

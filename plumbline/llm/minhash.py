@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import Scratch, unique_name
+from .common import Scratch, settled, unique_name
 from .components import components
 from .pairing import block_members, verified
 
@@ -53,7 +53,7 @@ def _signatures(docs: DataFrame, shingle: int, n: int, seed: int) -> DataFrame:
                     sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * n), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a).filter(has) for k in (0, 1)), sig], names=["node", "doc_id", "sig"])
 
-    return docs.mapInArrow(run, "node long, doc_id long, sig binary")
+    return docs.mapInArrow(settled(run), "node long, doc_id long, sig binary")
 
 
 def _band_keys(signatures: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -71,7 +71,7 @@ def _band_keys(signatures: DataFrame, bands: int, rows: int) -> DataFrame:
             ids = np.repeat(batch.column(0).to_numpy(), bands)
             yield pa.RecordBatch.from_arrays([pa.array(acc.ravel().view(np.int64)), pa.array(ids)], names=["key", "id"])
 
-    return signatures.select("node", "sig").mapInArrow(run, "key long, id long")
+    return signatures.select("node", "sig").mapInArrow(settled(run), "key long, id long")
 
 
 def _groups(docs: DataFrame, several: DataFrame | None, scratch: Scratch, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, block: int = BLOCK, seed: int = SEED) -> DataFrame:

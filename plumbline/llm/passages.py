@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textops
-from .common import Scratch, by_group, group_starts, unique_name
+from .common import Scratch, by_group, group_starts, settled, unique_name
 from .components import components
 from .pairing import block_members
 
@@ -151,7 +151,7 @@ def _scanned(docs: DataFrame, length: int, window: int, shingle: int, bands: int
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
 
     source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text"), "text")
-    return source.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return source.mapInArrow(settled(run), ", ".join(f"{n} long" for n in names))
 
 
 def _colliding(found: DataFrame, bands: range, scratch: Scratch) -> DataFrame:
@@ -245,7 +245,7 @@ def _near_edges(members: DataFrame, firsts: DataFrame, docs: DataFrame, length:
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[a:b], pa.int64()) for x in own), pa.array([r.tobytes() for r in sets], pa.binary())], names=names)
 
     # a row of docs that is there twice has each set twice
-    sets = found.mapInArrow(cut, "id long, doc_id long, h long, s long, e long, set binary").dropDuplicates(["id"])
+    sets = found.mapInArrow(settled(cut), "id long, doc_id long, h long, s long, e long, set binary").dropDuplicates(["id"])
 
     def compare(table):
         starts = group_starts(table, ["key", "i", "j"])
@@ -346,7 +346,7 @@ def _around(asked: DataFrame, docs: DataFrame, words: int) -> DataFrame:
             near = _beyond(texts, at, sides, words)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((docs, hashes, sides, at, near), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()))], names=names)
 
-    near = found.mapInArrow(run, "doc long, h long, side int, pos long, near string")
+    near = found.mapInArrow(settled(run), "doc long, h long, side int, pos long, near string")
     # a row of docs that is there twice has each place twice
     return near.dropDuplicates(["doc", "h", "side", "pos"])
 
@@ -396,7 +396,7 @@ def _passages(found: DataFrame, docs: DataFrame, scratch: Scratch, window: int)
     own = near.withColumnRenamed("doc", "doc_id")
     other = near.select(F.col("doc").alias("other_doc"), F.col("h").alias("other_h"), "side", F.col("pos").alias("other_pos"), F.col("near").alias("other_near"))
     both = sides.join(own, ["doc_id", "h", "side", "pos"], "left").join(other, ["other_doc", "other_h", "side", "other_pos"], "left")
-    grown = both.select(*text, "part", "side", "outer", "pos", "first_doc", "near", "other_near").mapInArrow(_agreeing, "doc_id long, h long, removed boolean, part long, side int, outer long, pos long, first_doc long, more long")
+    grown = both.select(*text, "part", "side", "outer", "pos", "first_doc", "near", "other_near").mapInArrow(settled(_agreeing), "doc_id long, h long, removed boolean, part long, side int, outer long, pos long, first_doc long, more long")
     begin = F.min(F.when(F.col("side") == 0, F.least("outer", F.col("pos") - F.col("more"))))
     end = F.max(F.when(F.col("side") == 1, F.greatest("outer", F.col("pos") + F.col("more"))))
     whole = grown.groupBy(*text, "part").agg(begin.alias("s"), end.alias("e"), F.min("first_doc").alias("first_doc"))

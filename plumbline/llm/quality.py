@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import unique_name
+from .common import settled, unique_name
 
 FEATURE_BITS = 18
 SAMPLE = 12_000  # labelled documents to learn from, at most
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = FEATURE_BITS, sample: in
             # norms are of scaled rows, so the ratios go along
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([ratios.tobytes()]), pa.array([bias])], names=["weights", "ratios", "bias"])
 
-    made = rows.mapInArrow(features, "doc_id long, y int, x binary").repartition(1).mapInArrow(learn, "weights binary, ratios binary, bias double").collect()
+    made = rows.mapInArrow(settled(features), "doc_id long, y int, x binary").repartition(1).mapInArrow(settled(learn), "weights binary, ratios binary, bias double").collect()
     if not made:
         return None
     return np.stack([np.frombuffer(made[0]["weights"], np.float64), np.frombuffer(made[0]["ratios"], np.float64)]), made[0]["bias"]

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from . import bpe, embeddings, encoding, minhash, mixing, passages, quality, rendering, rules, warc
-from .common import Scratch
+from .common import Scratch, short_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textops
-from .common import Scratch
+from .common import Scratch, settled
 
 CLASSES = ("lower", "upper", "other_letter", "mark", "digit", "space", "line_end", "punctuation", "symbol", "other")
 COMMON = 40
@@ -89,7 +89,7 @@ def _counted(docs: DataFrame) -> DataFrame:
                         names=["lang", "kind", "key", "n"],
                     )
 
-    return docs.mapInArrow(run, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(settled(run), "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
 def references(docs: DataFrame, scratch: Scratch, common: int = COMMON) -> DataFrame:
