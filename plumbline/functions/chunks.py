@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import Invalid
 
 
+def packed(text: str, size: int) -> list[str]:
+    """Chunks of one text: lengths of words are summed once, and each chunk's end is found by bisection."""
+    words = text.split()
+    # ends[i]: characters of the first i words, each with the space behind it
+    ends = list(accumulate(map(len, words), lambda a, b: a + b + 1, initial=0))
+    out, a = [], 0
+    while a < len(words):
+        b = max(a + 1, bisect_right(ends, ends[a] + size + 1) - 1)
+        out.append(" ".join(words[a:b]))
+        a = b
+    return out
+
+
 def chunks(text: Column, size: int) -> Column:
     """Array of chunks: words joined by one space, at most ``size`` characters; a longer word is a chunk by itself."""
     if size < 1:
         raise Invalid("a chunk has at least one character")
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(s, w):
-        fits = F.char_length(s["open"]) + 1 + F.char_length(w) <= size
-        return (
-            F.when(s["open"] == "", F.struct(s["done"].alias("done"), w.alias("open")))
-            .when(fits, F.struct(s["done"].alias("done"), F.concat_ws(" ", s["open"], w).alias("open")))
-            .otherwise(F.struct(F.array_append(s["done"], s["open"]).alias("done"), w.alias("open")))
-        )
-
-    return F.aggregate(words, start, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"])))
+
+    @F.pandas_udf("array<string>")
+    def pack(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else packed(t, size) for t in texts], dtype=object)
+
+    return pack(text)
 
 
 def chunked(documents: DataFrame, size: int, source: str = "source", text: str = "text") -> DataFrame:
