@@ -18,7 +18,7 @@ from . import bpe
 from .common import Scratch, settled
 
 BLOCK = 6 << 20  # characters of the texts whose words are numbered together; a longer text is alone
-BUCKET = 1 << 20  # words, counted once a block, that go to one bucket of the table of distinct words
+BUCKET = 1 << 18  # words, counted once a block, that go to one bucket of the table of distinct words
 LONG = 1 << 20  # characters from which a text's words aren't held as a list
 EMIT = 1 << 18  # ids of a batch that a task hands on, but for a longer row
 PIECES = 1 << 20  # pieces that a vocabulary may have, since they are broadcast
